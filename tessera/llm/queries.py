@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, mixing, warc
+from tessera.llm import chat, mixing, quality, warc, winnow
 from tessera.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,25 @@ FROM joined LEFT JOIN upto USING (src_null, src, block)"""
 def op9_mixing(spark, sf):
     p = mixing.plan(documents(spark, sf))
     return p.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+
+
+@query()
+def op10_winnowing(spark, sf):
+    rows = winnow.with_next(documents(spark, sf), extra=winnow.fingerprint)
+    rows = rows.withColumn("edited", winnow.edited(F.col("text"), F.col("next_text")))
+    rows = rows.withColumn("edited_entries", winnow.fingerprint(F.col("edited")))
+    own, other, after = (winnow.hashes(F.col(c)) for c in ("extra", "edited_entries", "next_extra"))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        winnow.as_string(F.col("extra")).alias("fingerprint"),
+        winnow.as_string(F.col("edited_entries")).alias("edited_fingerprint"),
+        winnow.likeness(own, other).alias("near_edited"),
+        winnow.likeness(own, after).alias("near_next"),
+    )
+
+
+@query()
+def op3_quality_rules(spark, sf):
+    return quality.verdicts(documents(spark, sf))
