@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, mixing, quality, warc, winnow
+from tessera.llm import chat, mixing, pieces, quality, warc, winnow
 from tessera.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,3 +122,8 @@ def op10_winnowing(spark, sf):
 @query()
 def op3_quality_rules(spark, sf):
     return quality.verdicts(documents(spark, sf))
+
+
+@query()
+def op4_sentencepiece(spark, sf):
+    return pieces.encoded(documents(spark, sf))
