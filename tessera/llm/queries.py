@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, mixing, pieces, quality, warc, winnow
+from tessera.llm import chat, mixing, neardup, pieces, quality, warc, winnow
 from tessera.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +127,9 @@ def op3_quality_rules(spark, sf):
 @query()
 def op4_sentencepiece(spark, sf):
     return pieces.encoded(documents(spark, sf))
+
+
+@query()
+def op7_near_duplicates(spark, sf):
+    found = neardup.near_duplicates(documents(spark, sf), neardup.Near(shingle=3, percent=85))
+    return found.withColumnRenamed("id", "doc_id")
