@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, mixing, neardup, pieces, quality, warc, winnow
+from tessera.llm import chat, mixing, neardup, pieces, quality, repeats, warc, winnow
 from tessera.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,3 +133,8 @@ def op4_sentencepiece(spark, sf):
 def op7_near_duplicates(spark, sf):
     found = neardup.near_duplicates(documents(spark, sf), neardup.Near(shingle=3, percent=85))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op5_suffix_array_dedup(spark, sf):
+    return repeats.removal(documents(spark, sf)).withColumnRenamed("id", "doc_id")
