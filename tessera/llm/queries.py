@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, mixing, neardup, pieces, quality, repeats, warc, winnow
+from tessera.llm import chat, classifier, licences, mixing, neardup, pieces, quality, repeats, warc, winnow
 from tessera.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,3 +138,16 @@ def op7_near_duplicates(spark, sf):
 @query()
 def op5_suffix_array_dedup(spark, sf):
     return repeats.removal(documents(spark, sf)).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op6_quality_classifier(spark, sf):
+    docs = documents(spark, sf)
+    model = classifier.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    return classifier.scored(docs, model)
+
+
+@query()
+def op2_licence_scan(spark, sf):
+    docs = documents(spark, sf)
+    return licences.scanned(docs, licences.fit(docs))
