@@ -11,6 +11,7 @@ from tessera.functions import text as tx
 from tessera.operators import mapreduce as mr
 from tessera.operators import workloads as wl
 from tessera.sources.text import table
+from tessera.streaming import counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -227,3 +228,58 @@ def most_frequent_words(spark, sf):
     """A top-k report; the ranks are taken after the limit, over twenty rows."""
     top = wl.word_count(table(spark, sf, "documents")).orderBy(F.desc("n"), "word").limit(20)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "word")).cast("long"))
+
+
+LINES_SQL = r"SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '\r$', '') AS line FROM documents"
+
+
+@query(f"SELECT doc_id, count(*) AS n_lines, sum(strlen(line))::BIGINT AS n_bytes, count(DISTINCT line) AS n_different FROM ({LINES_SQL}) GROUP BY doc_id")
+def lines_per_document(spark, sf):
+    lines = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.select("doc_id", tx.strip_cr(F.col("line")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("line")).alias("n_bytes"), F.count_distinct("line").alias("n_different"))
+
+
+@query("""SELECT c_custkey, c_name AS name, c_mktsegment || ',' || c_nationkey::VARCHAR AS quoted, c_nationkey::VARCHAR AS nation FROM customer""")
+def quoted_csv_fields(spark, sf):
+    """Comma-separated lines with a quoted field that holds a comma; quotes are dropped, commas inside stay."""
+    c = table(spark, sf, "customer")
+    line = F.concat(F.col("c_name"), F.lit(',"'), F.col("c_mktsegment"), F.lit(","), F.col("c_nationkey").cast("string"), F.lit('",'), F.col("c_nationkey").cast("string"))
+    cut = c.select("c_custkey", tx.quoted_fields(line).alias("f"))
+    return cut.select("c_custkey", F.get("f", F.lit(0)).alias("name"), F.get("f", F.lit(1)).alias("quoted"), F.get("f", F.lit(2)).alias("nation"))
+
+
+@query("SELECT o_orderkey, o_orderstatus AS w1, o_orderpriority AS w2, year(o_orderdate)::INT AS year FROM orders WHERE year(o_orderdate) >= 1995")
+def blank_separated_records(spark, sf):
+    """Records of blank-separated fields with a numeric predicate; a year that is no number fails the task."""
+    o = table(spark, sf, "orders")
+    value = F.concat_ws(" \t", "o_orderstatus", F.translate("o_orderpriority", " ", "·"), F.year("o_orderdate"))
+    cut = o.select("o_orderkey", tx.tokens(value).alias("f"))
+    cut = cut.select("o_orderkey", F.get("f", F.lit(0)).alias("w1"), F.translate(F.get("f", F.lit(1)), "·", " ").alias("w2"), F.get("f", F.lit(2)).cast("int").alias("year"))
+    return cut.where("year >= 1995")
+
+
+@query(f"SELECT word, n, 1 AS n_partitions, true AS in_range FROM ({WORD_COUNT})")
+def hash_partition_invariants(spark, sf):
+    """Each key lies in one hash partition, and every partition id is below the number of partitions."""
+    words = words_of(spark, sf).withColumn("pid", mr.hash_partitioner(15)(F.col("word"), F.lit(1)))
+    g = words.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("pid").cast("int").alias("n_partitions"), F.max("pid").alias("high"), F.min("pid").alias("low"))
+    return g.select("word", "n", "n_partitions", ((F.col("high") < 15) & (F.col("low") >= 0)).alias("in_range"))
+
+
+@query("SELECT c_mktsegment, c_name FROM customer WHERE c_acctbal > 0 UNION ALL SELECT 'supplier', s_name FROM supplier WHERE s_acctbal > 0")
+def union_all_of_sources(spark, sf):
+    c = table(spark, sf, "customer").where("c_acctbal > 0").select("c_mktsegment", "c_name")
+    s = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.lit("supplier").alias("c_mktsegment"), F.col("s_name").alias("c_name"))
+    return c.unionByName(s)
+
+
+@query("SELECT genre, count(*) AS n, max(r)::DOUBLE AS best FROM (SELECT unnest(string_split(p_type, ' ')) AS genre, p_retailprice AS r FROM part) WHERE genre <> '' GROUP BY genre")
+def explode_and_maximum(spark, sf):
+    p = table(spark, sf, "part").select(F.explode(F.split("p_type", " ")).alias("genre"), F.col("p_retailprice").alias("r")).where("genre <> ''")
+    return p.groupBy("genre").agg(F.count("*").alias("n"), F.max("r").alias("best"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf):
+    return counts.event_counts(table(spark, sf, "events")).withColumn("total", F.round("total", 4))

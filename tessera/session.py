@@ -21,6 +21,10 @@ SETTINGS = {
     "spark.shuffle.io.maxRetries": "3",
     "spark.executor.heartbeatInterval": "3s",
     "spark.network.timeout": "120s",
+}
+
+#: Nodes on which tasks keep failing get no more of them. In local mode there is no other node to turn to.
+CLUSTER_SETTINGS = {
     "spark.excludeOnFailure.enabled": "true",
     "spark.excludeOnFailure.task.maxTaskAttemptsPerNode": "5",
 }
@@ -31,6 +35,6 @@ def builder(app: str = "tessera", local_cores: int | None = None) -> SparkSessio
     out = SparkSession.builder.appName(app)
     if local_cores:
         out = out.master(f"local[{local_cores},{MAX_TASK_FAILURES}]")
-    for key, value in SETTINGS.items():
+    for key, value in (SETTINGS if local_cores else SETTINGS | CLUSTER_SETTINGS).items():
         out = out.config(key, value)
     return out

@@ -31,7 +31,7 @@ def text_lines(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """One row for each file (path STRING, value STRING), for mappers that need the whole text."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.validate_utf8("value").alias("value"))
 
 
