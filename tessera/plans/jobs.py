@@ -82,14 +82,14 @@ class Jobs:
             if job.status is Status.CANCELLED:
                 return
             job.status, job.started = Status.IN_PROGRESS, time.time()
-        self.spark.addTag(job.id)
+        self.spark.sparkContext.addJobTag(job.id)
         self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"priority-{job.priority}")
         try:
             result, status, error = run(self.spark), Status.DONE, ""
         except Exception:
             result, status, error = None, Status.FAILED, traceback.format_exc()
         finally:
-            self.spark.removeTag(job.id)
+            self.spark.sparkContext.removeJobTag(job.id)
         with self.lock:
             job.done = time.time()
             if job.status is not Status.CANCELLED:
@@ -116,7 +116,7 @@ class Jobs:
             if job is None or job.status in FINAL:
                 return False
             job.status = Status.CANCELLED
-        self.spark.interruptTag(job_id)
+        self.spark.sparkContext.cancelJobsWithTag(job_id)
         return True
 
     def wait(self, job_id: str, timeout: float | None = None) -> Status:

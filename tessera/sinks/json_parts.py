@@ -21,23 +21,17 @@ def write_json_partitions(groups: DataFrame, out: str, mode: str = "overwrite")
 
 
 def write_json_objects(groups: DataFrame, out: str, mode: str = "overwrite") -> None:
-    """Like write_json_partitions, but each partition file is a sequence of ``"key": [values]`` entries of one
-    JSON object, so that a file parses as the single object that older readers expect.
+    """Like write_json_partitions, but each partition file holds one JSON object of key -> values.
 
-    The opening and closing braces are rows of their own, ordered around the entries by Spark's sort; no group
-    of rows is held in memory.
+    Entries are lines, sorted by key; the first opens the object and the last closes it, so no group of rows is held
+    in memory. Keys are unique within a partition, as they are after a reduce.
     """
-    entry = groups.select(
-        "pid",
-        F.lit(1).alias("part"),
-        F.col("key").cast("string").alias("key"),
-        F.concat(F.to_json(F.array(F.col("key").cast("string"))), F.lit(": "), F.to_json("values")).alias("body"),
-    )
+    key = F.col("key").cast("string")
     # to_json of a one-element array is ["key"]; the brackets go
-    entry = entry.withColumn("body", F.regexp_replace("body", r'^\[("(?:[^"\\]|\\.)*+")\]', "$1"))
-    first = entry.groupBy("pid").agg(F.min("key").alias("key0"))
-    opened = first.select("pid", F.lit(0).alias("part"), F.lit("").alias("key"), F.lit("{").alias("body"))
-    closed = first.select("pid", F.lit(2).alias("part"), F.lit("").alias("key"), F.lit("}").alias("body"))
-    marked = entry.join(first, "pid").withColumn("body", F.concat(F.when(F.col("key") == F.col("key0"), F.lit("")).otherwise(F.lit(",")), F.col("body"))).drop("key0")
-    rows = opened.unionByName(marked).unionByName(closed)
-    rows.repartition("pid").sortWithinPartitions("pid", "part", "key").select("pid", "body").write.mode(mode).partitionBy("pid").text(out)
+    name = F.regexp_replace(F.to_json(F.array(key)), r'^\[("(?:[^"\\]|\\.)*+")\]', "$1")
+    entry = groups.select("pid", key.alias("key"), F.concat(name, F.lit(": "), F.to_json("values")).alias("body"))
+    ends = entry.groupBy("pid").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    before = F.when(F.col("key") == F.col("low"), F.lit("{\n")).otherwise(F.lit(","))
+    after = F.when(F.col("key") == F.col("high"), F.lit("\n}")).otherwise(F.lit(""))
+    rows = entry.join(ends, "pid").select("pid", "key", F.concat(before, "body", after).alias("body"))
+    rows.repartition("pid").sortWithinPartitions("pid", "key").select("pid", "body").write.mode(mode).partitionBy("pid").text(out)

@@ -17,7 +17,8 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger:
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """(start, event_type, n, total) for tumbling windows; rows later than ``late`` are dropped when streaming."""
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    # watermarks need a point in time; times without a zone are taken in that of the session
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     g = timed.groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return g.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
