@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units and agreeing pairs that one worker remembers, in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Boundaries that may wait before the search looks for a common one.
 WAITING = 64
 UNIT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")

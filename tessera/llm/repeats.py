@@ -390,42 +390,50 @@ def covered_bytes(s: Samples, i: int, j: int, lists: dict[str, pa.Array], hot: n
 LISTS = ("firsts", "large", "windows", "starts", "flags")
 
 
-def base_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, sub, text): sub tells rows with one id and different texts apart; it is 0 where ids are unique."""
+def base_rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, bool]:
+    """(id, sub, text) of the rows, (id, sub, doc, none) of the same rows, and whether ids are unique.
+
+    sub tells rows with one id and different texts apart; it is 0 where ids are unique. doc holds the columns other
+    than the text, none tells whether that is null.
+    """
     ids = docs.select(F.col(key).cast("long").alias("id"))
     unique = ids.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
     body = whole_text(F.col(text))
-    sub = F.lit(0).cast("long") if unique else F.xxhash64(body)
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(FIRST_ID)).alias("id"), sub.alias("sub"), body.alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    named = [F.coalesce(F.col(key).cast("long"), F.lit(FIRST_ID)).alias("id"), (F.lit(0).cast("long") if unique else F.xxhash64(body)).alias("sub")]
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text))
+    return docs.select(*named, body.alias("text")), docs.select(*named, others.alias("doc"), F.col(text).isNull().alias("none")), unique
 
 
-def with_lists(docs: DataFrame, key: str, text: str, max_group: int, columns: bool) -> tuple[DataFrame, np.ndarray]:
-    """The rows with all lists that say what is repeated in them, and the hot names.
+def with_lists(docs: DataFrame, key: str, text: str, max_group: int) -> tuple[DataFrame, np.ndarray]:
+    """The rows (id, doc, none, text) with all lists that say what is repeated in them, and the hot names.
 
-    The lists of step 1 are written to the shared folder; the texts are shuffled once, by document, and that shuffle
-    serves both joins.
+    The lists of step 1 are written to the shared folder. The texts are shuffled once, by document; that shuffle
+    serves step 2 and step 3, and what else is joined by document is small.
     """
     spark = docs.sparkSession
-    base = base_rows(docs, key, text)
-    small = base.select("id", "sub", "text")
-    hot = hot_names(small)
+    base, others, unique = base_rows(docs, key, text)
+    hot = hot_names(base)
     path = new_folder(spark, "repeats")
-    first_lists(small, hot, max_group).write.parquet(path)
+    first_lists(base, hot, max_group).write.parquet(path)
     lists = spark.read.parquet(path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = (base if columns else small).repartition(parts, "id", "sub").join(lists, ["id", "sub"], "left")
+    dealt = base.repartition(parts, "id", "sub")
+    if not unique:
+        dealt = dealt.dropDuplicates(["id", "sub"])
+    rows = dealt.join(lists, ["id", "sub"], "left")
     flags = window_flags(context_rows(rows.where(F.size("shared") > 0)))
     flags = flags.groupBy("id", "sub").agg(F.collect_list(F.struct("at", "bits")).alias("flags"))
     rows = rows.join(flags, ["id", "sub"], "left")
     if lists.where(F.size("large") > 0).isEmpty():
-        return rows.withColumn("starts", F.array().cast("array<int>")), hot
-    again = large_windows(small.repartition(parts, "id", "sub").join(lists, ["id", "sub"]))
-    return rows.join(again, ["id", "sub"], "left"), hot
+        rows = rows.withColumn("starts", F.array().cast("array<int>"))
+    else:
+        rows = rows.join(large_windows(dealt.join(lists, ["id", "sub"])), ["id", "sub"], "left")
+    return rows.join(others, ["id", "sub"]), hot
 
 
 def removal(docs: DataFrame, key: str = "doc_id", text: str = "text", max_group: int = MAX_GROUP) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    rows, hot = with_lists(docs, key, text, max_group, columns=False)
+    rows, hot = with_lists(docs, key, text, max_group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -452,7 +460,7 @@ def removal(docs: DataFrame, key: str = "doc_id", text: str = "text", max_group:
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", max_group: int = MAX_GROUP) -> DataFrame:
     """The rows with repeated strings cut out of their texts, at character borders inside the repeated bytes."""
-    rows, hot = with_lists(docs, key, text, max_group, columns=True)
+    rows, hot = with_lists(docs, key, text, max_group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -466,8 +474,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
                     cover = np.repeat(np.logical_and.reduceat(cover, begin), np.diff(np.append(begin, len(cover))))
                 for x, y in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), strict=True):
                     left.append(s.data[x:y][~cover[x:y]].tobytes().decode())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(left, pa.string())], names=["doc", "left"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(left, pa.string()), b.column(7)], names=["doc", "left", "none"])
 
     kind = rows.schema["doc"].dataType.simpleString()
-    out = rows.select("doc", "text", *LISTS).mapInArrow(run, f"doc {kind}, left string")
-    return out.select(*(F.when(F.col("doc")[text].isNotNull(), F.col("left")).alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns))
+    out = rows.select("doc", "text", *LISTS, "none").mapInArrow(run, f"doc {kind}, left string, none boolean")
+    return out.select(*(F.when(~F.col("none"), F.col("left")).alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns))

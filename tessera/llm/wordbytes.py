@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from tessera.llm.shared import BLANKS
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 BLANK = np.zeros(256, bool)
 BLANK[list(BLANKS)] = True
 #: An odd multiplier of polynomial hashes modulo 2**64, and random values of the bytes.
