@@ -1,5 +1,6 @@
 """Document operators against plain versions, on edge cases and on a given table."""
 
+import base64
 import zlib
 from collections import Counter, defaultdict
 
@@ -56,6 +57,23 @@ def test_bands_reject_noise_and_repetition():
         assert quality.in_bands(memoryview(prose.encode()), b, pack)[2]
 
 
+@pytest.mark.parametrize("n", [300, 500, 700, 1000, 2000, 4096, 10_000, 40_000])
+def test_bands_reject_random_text(n):
+    rng = np.random.default_rng(n)
+    pack = __import__("zstandard").ZstdCompressor(3)
+    b = quality.Bands()
+    coded = base64.b64encode(rng.bytes(n)).decode()
+    texts = {
+        "base64": "\n".join(coded[i : i + 76] for i in range(0, n, 76)).encode()[:n],
+        "printable": bytes(rng.integers(32, 127, n, dtype=np.uint8)),
+        "cjk": "".join(map(chr, rng.integers(0x4E00, 0x9FA5, n // 3))).encode(),
+    }
+    for kind, text in texts.items():
+        assert not quality.in_bands(memoryview(text), b, pack)[2], kind
+        if n >= b.chunk_bytes:
+            assert len(pack.compress(text[: b.chunk_bytes])) / b.chunk_bytes > b.chunk[1], kind
+
+
 def test_clean_documents_stay(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1")
