@@ -1,12 +1,17 @@
 """Quality rules with compression bands.
 
 Rules on words and lines reject texts that are too short or repeat themselves in eight-word windows. Beyond them,
-zstandard ratios (compressed over original bytes) of the whole text and of its fixed chunks have to lie in a band
+zstandard ratios (compressed over original bytes) of the whole text and of each of its chunks have to lie in a band
 that depends on the length: far below it a text is repetitive, far above it incompressible. A short text cannot be
 compressed well, so its band is wider and lies higher. Beyond 200 bytes the upper limits lie between the ratios
 measured on prose and those of base64, random printable and random CJK text; hexadecimal digits compress like prose
 (0.51 to 0.53 from 4 KB on), so no limit on the ratio tells them apart.
 
+Chunks are ``chunk_bytes`` long and start at every half of it, the last one at the end of the text, so that every
+byte from the first to the last is in one, and a stretch of one and a half chunks of junk fills one wherever it
+starts. One chunk outside the band rejects the text, however long it is. A text under ``chunk_bytes`` is one chunk,
+measured by the whole ratio. A shorter stretch of junk inside a text only shows as far as it moves these ratios.
+
 Every rule looks at the whole text. Documents are handled in Arrow batches, each on its own, so a lost executor
 costs its batches only.
 
@@ -54,8 +59,6 @@ class Bands:
     )
     chunk_bytes: int = 4096
     chunk: tuple[float, float] = (0.20, 0.68)
-    #: A text fails when more than this share of its full chunks lies outside.
-    bad_chunks: float = 0.25
     level: int = 3
 
 
@@ -63,23 +66,23 @@ def band(bands: Bands, n: int) -> tuple[float, float]:
     return next((low, high) for most, low, high in bands.whole if n <= most)
 
 
+def chunk_starts(n: int, size: int) -> list[int]:
+    """Where the chunks of a text of n bytes start; none for a text under one chunk."""
+    return [*range(0, n - size, max(1, size // 2)), n - size] if n >= size else []
+
+
 def in_bands(text: memoryview, bands: Bands, pack: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
-    """The whole ratio, the share of full chunks outside their band, and whether the text passes."""
+    """The whole ratio, the share of chunks outside their band, and whether the text passes."""
     n = len(text)
     if not n:
         return 1.0, 0.0, True
     ratio = len(pack.compress(text)) / n
     size = bands.chunk_bytes
-    full = n // size
     low, high = bands.chunk
-    out = 0
-    if full > 1:
-        for i in range(full):
-            r = len(pack.compress(text[i * size : (i + 1) * size])) / size
-            out += not low <= r <= high
-    share = out / full if full > 1 else 0.0
+    starts = chunk_starts(n, size)
+    out = sum(not low <= len(pack.compress(text[i : i + size])) / size <= high for i in starts)
     low, high = band(bands, n)
-    return ratio, share, low <= ratio <= high and share <= bands.bad_chunks
+    return ratio, out / len(starts) if starts else 0.0, low <= ratio <= high and not out
 
 
 def base_counts(c: wb.Chunk) -> dict[str, np.ndarray]:

@@ -74,6 +74,28 @@ def test_bands_reject_random_text(n):
             assert len(pack.compress(text[: b.chunk_bytes])) / b.chunk_bytes > b.chunk[1], kind
 
 
+def test_chunks_see_the_whole_text():
+    rng = np.random.default_rng(12)
+    pack = __import__("zstandard").ZstdCompressor(3)
+    b = quality.Bands()
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlu"), int(rng.integers(2, 9)))) for _ in range(3000)]
+    weights = 1 / np.arange(1, 3001)
+    prose = " ".join(rng.choice(vocabulary, 80_000, p=weights / weights.sum())).encode()
+    random = bytes(rng.integers(32, 127, 8000, dtype=np.uint8))
+    assert len(prose) > 300_000
+    for n in (4095, 4096, 4097, 8190, 16_383, 300_000):
+        assert quality.in_bands(memoryview(prose[:n]), b, pack)[2], n
+    for text in (
+        prose[:4095] + b"=" * 4095,
+        prose[: 16_383 - 4095] + b"=" * 4095,
+        prose[: 16_383 - 4095] + random[:4095],
+        prose[:300_000] + b"the same words again " * 4762,
+        prose[:101_000] + random[:6144] + prose[101_000:300_000],
+        prose[:101_000] + b"=" * 6144 + prose[101_000:300_000],
+    ):
+        assert not quality.in_bands(memoryview(text), b, pack)[2]
+
+
 def test_clean_documents_stay(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1")
