@@ -1,11 +1,14 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Texts fall into paragraphs (lines with a word). Hashed one- and two-word features go into a sparse logistic regression
-with one class for each licence family and one for unknown text. It is trained on the driver from the templates
-below, cut and distorted with a fixed seed, against a bounded hash sample of corpus paragraphs as the unknown class
-(``Settings.unknown`` documents). A threshold on the best family's probability is set on held-out samples, so that at
-most ``Settings.false_share`` of unknown paragraphs pass; a paragraph below it is unknown. What passes has to be
-confirmed: one clause of the family's templates must share ``Settings.cover`` of its word pairs with the paragraph.
+Texts fall into paragraphs (lines with a word, joined up to a line without one, so that wrapped text is whole). What
+is scored are the lines of a paragraph and overlapping windows of its words, of lengths that hold any clause. Hashed
+one- and two-word features go into a sparse logistic regression with one class for each licence family and one for
+unknown text. It is trained on the driver from the templates
+below, cut and distorted with a fixed seed, against a bounded hash sample of corpus lines as the unknown class
+(``Settings.unknown`` documents). A threshold on the families' summed probability is set on held-out samples, so that at
+most ``Settings.false_share`` of unknown lines pass; what is below it is unknown. What passes is compared with every
+family: one clause of its templates must share ``Settings.cover`` of its word pairs with the line or window, and half of
+those that no other family's clauses have, so that a licence does not confirm its near relations.
 
 Executors get the weights (buckets x classes, a fixed size) and the clauses' word pairs, and scan whole texts in Arrow
 batches.
@@ -83,6 +86,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 FAMILIES = tuple(TEMPLATES)
 UNKNOWN = len(FAMILIES)
+#: Words of a window and steps between windows; the longest clause has under 49 words.
+WINDOWS = ((16, 4), (32, 8), (64, 16))
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -107,6 +112,8 @@ def pairs_of(text: str) -> frozenset[tuple[str, str]]:
 
 
 CLAUSES = {f: [pairs_of(c) for c in clauses] for f, clauses in TEMPLATES.items()}
+#: Of each clause the word pairs that no other family has.
+OWN = {f: [c.difference(*(x for g in CLAUSES if g != f for x in CLAUSES[g])) for c in clauses] for f, clauses in CLAUSES.items()}
 
 #: Letters and digits keep their value in lower case; everything else separates words.
 FOLD = np.full(256, 32, np.uint8)
@@ -118,7 +125,7 @@ FOLD[10] = 10
 
 
 class Paragraphs:
-    """The lines with a word of some documents, with hashed features of their words and word pairs."""
+    """The paragraphs and the lines with a word of some documents, with hashed features of their words and word pairs."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, buckets: int):
         c = wb.Chunk(FOLD[data], offsets)
@@ -127,28 +134,52 @@ class Paragraphs:
         ends = np.append(cuts[1:], len(c.data)) if len(cuts) else cuts
         first, last = np.searchsorted(c.starts, cuts), np.searchsorted(c.starts, ends)
         full = last > first
-        self.starts, self.ends, self.word_at = cuts[full], ends[full], np.append(first[full], len(c.starts))
-        self.doc = np.searchsorted(c.offsets, self.starts, "right") - 1
+        #: words of line i are line_first[i] to line_last[i]
+        self.line_first, self.line_last = first[full], last[full]
+        doc = np.searchsorted(c.offsets, cuts[full], "right") - 1
+        at = np.flatnonzero(full)
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(at) > 1) | (np.diff(doc) > 0)
+        head = np.flatnonzero(new)
+        self.line_paragraph = np.cumsum(new) - 1
+        self.first = self.line_first[head]
+        self.last = np.append(self.first[1:], len(c.starts)) if len(head) else self.first
+        self.starts, self.doc = cuts[full][head], doc[head]
+        self.word_starts, self.word_ends = c.starts, c.ends
         words = c.word_hashes()
         mask = np.uint64(buckets - 1)
         self.words = (words & mask).astype(np.int64)
         two = wb.runs(words, 2)
         self.pairs = np.append((two & mask).astype(np.int64), 0)[: len(words)]
-        #: the last word of a paragraph starts no pair
-        self.has_pair = np.ones(len(words), bool)
-        self.has_pair[self.word_at[1:] - 1] = False
-
-    def logits(self, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        """Class scores of every paragraph: weights summed over features, by the root of their number."""
-        if not len(self.starts):
-            return np.zeros((0, len(bias)))
-        rows = weights[self.words]
-        rows += weights[self.pairs] * self.has_pair[:, None]
-        n = np.diff(self.word_at)
-        return np.add.reduceat(rows, self.word_at[:-1], axis=0) / np.sqrt(2 * n - 1)[:, None] + bias
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last word, and paragraph, of all lines and windows; a paragraph's last window ends where it ends."""
+        first, last, owner = [self.line_first], [self.line_last], [self.line_paragraph]
+        size = self.last - self.first
+        for length, step in WINDOWS:
+            n = 1 + np.maximum(0, -(-(size - length) // step))
+            of = np.repeat(np.arange(len(size)), n)
+            k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            a = self.first[of] + np.minimum(k * step, np.maximum(0, size[of] - length))
+            first.append(a)
+            last.append(np.minimum(a + length, self.last[of]))
+            owner.append(of)
+        found = np.unique(np.stack([np.concatenate(first), np.concatenate(last), np.concatenate(owner)]), axis=1)
+        return found[0], found[1], found[2]
+
+    def logits(self, weights: np.ndarray, bias: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Class scores of spans of words: weights summed over features, by the root of their number."""
+        one, two = (np.zeros((len(self.words) + 1, len(bias))) for _ in range(2))
+        np.cumsum(weights[self.words], axis=0, dtype=np.float64, out=one[1:])
+        np.cumsum(weights[self.pairs], axis=0, dtype=np.float64, out=two[1:])
+        total = one[last] - one[first] + two[last - 1] - two[first]
+        return total / np.sqrt(2 * (last - first) - 1)[:, None] + bias
+
+    def text(self, data: np.ndarray, first: int, last: int) -> str:
+        return data[self.word_starts[first] : self.word_ends[last - 1]].tobytes().decode("utf-8", "replace")
 
     def features(self, i: int) -> np.ndarray:
-        a, b = self.word_at[i], self.word_at[i + 1]
+        a, b = self.first[i], self.last[i]
         return np.concatenate([self.words[a:b], self.pairs[a : b - 1]])
 
 
@@ -212,24 +243,27 @@ def learned(lines: list[str], s: Settings) -> Model:
             np.subtract.at(weights, f, rate * scale * g)
             bias -= rate * 0.1 * g
         weights *= 1 - s.decay * len(train)
-    best = probabilities(p.logits(weights, bias)[test])[:, :UNKNOWN].max(axis=1)
+    best = 1 - probabilities(p.logits(weights, bias, p.first, p.last)[test])[:, UNKNOWN]
     unknown = np.sort(best[label[test] == UNKNOWN])
     threshold = float(unknown[int((1 - s.false_share) * (len(unknown) - 1))]) if len(unknown) else 0.5
     return Model(weights, bias, max(0.5, threshold))
 
 
 def fit(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> Model:
-    """Learns the unknown class from the paragraphs of at most ``s.unknown`` documents of the corpus."""
+    """Learns the unknown class from the lines of paragraphs without a clause, of at most ``s.unknown`` documents of the corpus."""
     ids = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(s.unknown)
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "id")
     texts = sorted(r["text"] or "" for r in rows.select("text").collect())
-    return learned([x for t in texts for x in t.split("\n") if x.strip()], s)
+    apart = [c for clauses in CLAUSES.values() for c in clauses]
+    paragraphs = [x for t in texts for x in re.split(r"\n(?:[^\w\n]*\n)+", t)]
+    paragraphs = [x for x, own in ((x, pairs_of(x)) for x in paragraphs) if all(len(own & c) < s.cover * len(c) for c in apart)]
+    return learned([x for t in paragraphs for x in t.split("\n") if x.strip()], s)
 
 
-def confirmed(line: str, family: str, cover: float) -> float:
-    """The largest share of a clause's word pairs that the line has; 0 below ``cover``."""
-    own = pairs_of(line)
-    best = max(len(own & c) / len(c) for c in CLAUSES[family])
+def confirmed(text: str, family: str, cover: float) -> float:
+    """The largest share of a clause's word pairs that the text has, with half of those only this family has; 0 below ``cover``."""
+    own = pairs_of(text)
+    best = max((len(own & c) / len(c) for c, apart in zip(CLAUSES[family], OWN[family], strict=True) if 2 * len(own & apart) >= len(apart)), default=0.0)
     return best if best >= cover else 0.0
 
 
@@ -241,19 +275,21 @@ def scanned(docs: DataFrame, model: Model, s: Settings = Settings(), key: str =
 
     def scan(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
         p = Paragraphs(data, offsets, s.buckets)
-        prob = probabilities(p.logits(model.weights, model.bias)) if len(p.starts) else np.zeros((0, UNKNOWN + 1))
-        best = prob[:, :UNKNOWN].argmax(axis=1)
-        value = prob[np.arange(len(best)), best]
-        hits: dict[int, list[tuple[str, float, float]]] = {}
-        for i in np.flatnonzero(value >= model.threshold).tolist():
-            line = data[p.starts[i] : p.ends[i]].tobytes().decode("utf-8", "replace")
-            family = FAMILIES[best[i]]
-            hits.setdefault(int(p.doc[i]), []).append((family, float(value[i]), confirmed(line, family, s.cover)))
-        for d, n in enumerate(np.bincount(p.doc, minlength=len(offsets) - 1).tolist()):
-            found = hits.get(d, [])
-            sure = [h for h in found if h[2] > 0]
-            top = max(sure, key=lambda h: (h[2], h[1], h[0]), default=(None, 0.0, 0.0))
-            yield n, len(found), len(sure), sorted({h[0] for h in sure}), *top
+        n_paragraphs = np.bincount(p.doc, minlength=len(offsets) - 1).tolist()
+        first, last, owner = p.spans()
+        prob = probabilities(p.logits(model.weights, model.bias, first, last))
+        predicted: dict[int, set[int]] = {}
+        hits: dict[int, list[tuple[str, float, float, int]]] = {}
+        for i in np.flatnonzero(1 - prob[:, UNKNOWN] >= model.threshold).tolist():
+            text, d, at = p.text(data, first[i], last[i]), int(p.doc[owner[i]]), int(owner[i])
+            predicted.setdefault(d, set()).add(at)
+            for k, family in enumerate(FAMILIES):
+                if share := confirmed(text, family, s.cover):
+                    hits.setdefault(d, []).append((family, float(prob[i, k]), share, at))
+        for d, n in enumerate(n_paragraphs):
+            sure = hits.get(d, [])
+            top = max(sure, key=lambda h: (h[2], h[1], h[0]), default=(None, 0.0, 0.0, 0))
+            yield n, len(predicted.get(d, ())), len({h[3] for h in sure}), sorted({h[0] for h in sure}), *top[:3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.float64(), pa.float64()]

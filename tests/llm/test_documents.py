@@ -329,3 +329,38 @@ def test_licences(edge_docs, no_docs, table):
     data, offsets = wb.text_bytes(unlike)
     assert all(licences.confirmed(t.as_py(), f, 0.7) == 0 for t in unlike for f in licences.FAMILIES)
     assert len(licences.Paragraphs(data, offsets, 1 << 14).starts) == 2
+
+
+MIT = """The MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice, this
+ *    list of conditions and the following disclaimer.
+"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+"""
+
+
+def test_wrapped_licences(spark, table):
+    """Clauses that run over lines are found, and so are two families in one line; near relations are not."""
+    two = "This project is licensed under the MIT License. Licensed under the Apache License, Version 2.0."
+    sa = "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License."
+    prose = pairs(table)[0][1][:400].replace("\n", " ")
+    want = {0: ["mit"], 1: ["bsd"], 2: ["gpl"], 3: ["apache-2.0", "mit"], 4: ["cc-by-sa"], 5: ["mit"], 6: []}
+    texts = [MIT, BSD, GPL, two, sa, prose + "\n" + MIT + prose, "Permission is hereby granted\n\nto use, copy, modify, merge, publish"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licences.scanned(docs, licences.fit(table)).collect()}
+    assert {k: r["families"] for k, r in rows.items()} == want
+    assert rows[0]["n_paragraphs"] == 2 and rows[1]["n_confirmed"] == 2
