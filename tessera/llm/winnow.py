@@ -1,9 +1,9 @@
 """Document fingerprints by winnowing, with built-in functions only.
 
-A text is cut into tokens: words, long ones in pieces of up to 12 characters, so that text without blanks has
-tokens too. Runs of ``k`` tokens get a cyclic-polynomial rolling hash, built by doubling; of every window of
+A text is cut into tokens: words of up to 12 characters, and the single characters of longer runs without ASCII blanks
+(Chinese, Japanese, Thai, base64), so that what two texts share has the same tokens wherever it stands in a run. Runs of ``k`` tokens get a cyclic-polynomial rolling hash, built by doubling; of every window of
 ``window`` such hashes the smallest is kept, the rightmost of equal ones, with its position. Two texts that share a
-run of ``window + k - 1`` tokens share a fingerprint entry (the guarantee), and no run under ``k`` tokens can match.
+run of ``window + k - 1`` tokens share a fingerprint entry (the guarantee; as many characters inside long runs), and no run under ``k`` tokens can match.
 
 Entries are longs: 38 bits of hash above 25 bits of (MAX_POSITION - position), so that the smallest long is the
 smallest hash at its rightmost place. Beyond MAX_POSITION tokens the position stays at the maximum, which only
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import whole_text
 
-PIECE = r"[^\x20\x09-\x0D]{1,12}"
+SOLID = r"[^\x20\x09-\x0D]"
+#: A whole word of up to 12 characters, or one character of a longer one.
+PIECE = f"(?<!{SOLID}){SOLID}{{1,12}}(?!{SOLID})|{SOLID}"
 K = 4
 WINDOW = 16
 POSITION_BITS = 25

@@ -288,6 +288,20 @@ def test_winnowing_rule(spark):
     assert hashes[0] & hashes[1]
 
 
+def test_winnowing_without_blanks(spark):
+    """A passage of texts without blanks is found at any offset, and after an inserted character."""
+    rng = np.random.default_rng(10)
+    some = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9FA5, n)))
+    passage, least = some(400), winnow.WINDOW + winnow.K - 1
+    texts = [some(100) + passage + some(50), some(101) + passage + some(70), some(30) + passage[:200] + "一" + passage[200:], some(57) + passage[90 : 90 + least] + some(20), some(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r[0]: set(r[1]) for r in df.select("doc_id", winnow.hashes(winnow.fingerprint(F.col("text")))).collect()}
+    assert len(rows[0] & rows[1]) > 30 and len(rows[0] & rows[2]) > 30
+    assert rows[0] & rows[3] and not rows[0] & rows[4]
+    words = spark.range(1).select(F.regexp_extract_all(F.lit("ab twelveletter thirteenchars 🙂"), F.lit(winnow.PIECE), F.lit(0))).first()[0]
+    assert words == ["ab", "twelveletter", *"thirteenchars", "🙂"]
+
+
 def test_classifier(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
