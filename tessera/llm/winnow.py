@@ -1,21 +1,30 @@
 """Document fingerprints by winnowing, with built-in functions only.
 
 A text is cut into tokens: words of up to 12 characters, and the single characters of longer runs without ASCII blanks
-(Chinese, Japanese, Thai, base64), so that what two texts share has the same tokens wherever it stands in a run. Runs of ``k`` tokens get a cyclic-polynomial rolling hash, built by doubling; of every window of
-``window`` such hashes the smallest is kept, the rightmost of equal ones, with its position. Two texts that share a
-run of ``window + k - 1`` tokens share a fingerprint entry (the guarantee; as many characters inside long runs), and no run under ``k`` tokens can match.
+(Chinese, Japanese, Thai, base64), so that what two texts share has the same tokens wherever it stands in a run. Runs
+of ``k`` tokens get a cyclic-polynomial rolling hash, built by doubling; of every window of ``window`` such hashes the
+smallest is kept, the rightmost of equal ones, with its position. Two texts that share a run of ``window + k - 1``
+tokens share a fingerprint entry (the guarantee; as many characters inside long runs), and no run under ``k`` tokens
+can match.
 
-Entries are longs: 38 bits of hash above 25 bits of (MAX_POSITION - position), so that the smallest long is the
-smallest hash at its rightmost place. Beyond MAX_POSITION tokens the position stays at the maximum, which only
-weakens the tie rule.
+Entries are structs (hash, position): the whole 64-bit hash and the number of the run's first token. While minima are
+searched both are packed into one long, the hash's upper 32 bits above 31 bits of (MAX_POSITION - position): an array
+holds fewer than 2**31 tokens, so every position is exact, and hashes that agree in those 32 bits count as equal when
+the smallest is chosen, but not when texts are compared.
+
+Order of documents: null ids first, then by id; rows with one id by a hash of the text, then the text. The order is cut
+into buckets of about ROWS_PER_BUCKET rows, as many as the table needs; an id that many rows share, or null, is cut by
+that hash.
 
 Defined cases: null is the empty text, whose fingerprint is empty; two empty fingerprints are alike (1.0); texts
-under ``k`` tokens have one entry for the whole text; repeated rows and ids are ordered by id, then text; null ids
-come first; other columns do not matter; an empty table gives no rows.
+under ``k`` tokens have one entry for the whole text; equal rows follow each other; ids must be whole numbers; other
+columns do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,12 +37,11 @@ SOLID = r"[^\x20\x09-\x0D]"
 PIECE = f"(?<!{SOLID}){SOLID}{{1,12}}(?!{SOLID})|{SOLID}"
 K = 4
 WINDOW = 16
-POSITION_BITS = 25
+POSITION_BITS = 31
 MAX_POSITION = (1 << POSITION_BITS) - 1
 HASH_MASK = ((1 << 63) - 1) ^ MAX_POSITION
-#: Rows below one boundary of the order; the number of boundaries stays under MAX_BUCKETS.
+#: Rows between two boundaries of the order.
 ROWS_PER_BUCKET = 20_000
-MAX_BUCKETS = 4096
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -87,28 +95,33 @@ def window_minima(packed: Column, window: int) -> Column:
 
 
 def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:
-    """Entries (longs) of a text without null."""
+    """Entries (hash, position) of a text without null."""
     words = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
     hashed = F.transform(words, lambda w: F.xxhash64(w))
-    grams = let(hashed, lambda h: F.when((F.size(h) > 0) & (F.size(h) < k), F.array(F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), ",")))).otherwise(gram_hashes(h, k)))
-    packed = F.transform(grams, lambda g, i: g.bitwiseAND(F.lit(HASH_MASK)).bitwiseOR(F.lit(MAX_POSITION) - F.least(i, F.lit(MAX_POSITION)).cast("long")))
-    return window_minima(packed, window)
+    whole = lambda h: F.array(F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), ",")))
+    grams = let(hashed, lambda h: F.when((F.size(h) > 0) & (F.size(h) < k), whole(h)).otherwise(gram_hashes(h, k)))
+
+    def chosen(g: Column) -> Column:
+        packed = F.transform(g, lambda x, i: x.bitwiseAND(F.lit(HASH_MASK)).bitwiseOR(F.lit(MAX_POSITION) - i.cast("long")))
+        place = lambda e: (F.lit(MAX_POSITION) - e.bitwiseAND(F.lit(MAX_POSITION))).cast("int")
+        return F.transform(window_minima(packed, window), lambda e: F.struct(F.get(g, place(e)).alias("hash"), place(e).alias("position")))
+
+    return let(grams, chosen)
 
 
 def hashes(entries: Column) -> Column:
     """The different hashes of a fingerprint."""
-    return F.array_distinct(F.transform(entries, lambda e: F.shiftright(e, POSITION_BITS)))
+    return F.array_distinct(F.transform(entries, lambda e: e["hash"]))
 
 
 def positions(entries: Column) -> Column:
     """Token positions of the entries."""
-    return F.transform(entries, lambda e: F.lit(MAX_POSITION) - e.bitwiseAND(F.lit(MAX_POSITION)))
+    return F.transform(entries, lambda e: e["position"])
 
 
 def as_string(entries: Column) -> Column:
     """``hash@position`` of every entry, in order, hashes in hexadecimal."""
-    one = lambda e: F.concat(F.hex(F.shiftright(e, POSITION_BITS)), F.lit("@"), (F.lit(MAX_POSITION) - e.bitwiseAND(F.lit(MAX_POSITION))).cast("string"))
-    return F.array_join(F.transform(entries, one), " ")
+    return F.array_join(F.transform(entries, lambda e: F.concat(F.hex(e["hash"]), F.lit("@"), e["position"].cast("string"))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -118,49 +131,73 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(shared / every).cast("double")
 
 
-def order_buckets(docs: DataFrame, key: str) -> Column:
-    """An ascending bucket number of the id, from quantiles of the ids; null ids are in bucket -1."""
-    ids = docs.select(F.col(key).cast("double").alias("id"))
-    n = ids.count()
-    parts = min(MAX_BUCKETS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // ROWS_PER_BUCKET))
-    cuts = sorted(set(ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts))) if n > parts else []
-    at = F.col(key).cast("double")
-    return F.when(at.isNull(), F.lit(-1)).otherwise(binary_search(cuts, 0, len(cuts), at))
+def place_of(id: str, text: str) -> Column:
+    """What rows are ordered by."""
+    return F.struct(F.col(id).isNotNull().alias("known"), F.coalesce(id, F.lit(0)).alias("id"), F.xxhash64(text).alias("hash"))
 
 
-def binary_search(cuts: list[float], low: int, high: int, at: Column) -> Column:
-    """Number of cuts at or below the value, as nested conditions."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(at < F.lit(cuts[mid]), binary_search(cuts, low, mid, at)).otherwise(binary_search(cuts, mid + 1, high, at))
+def boundaries(rows: DataFrame, per_bucket: int) -> list[tuple[bool, int, int]]:
+    """First places (known, id, hash) of all buckets but the lowest, ascending; as many as the rows need.
 
-
-def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", extra: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(id, text, extra, next_text, next_extra): every document with the next one by id, the last with the first.
-
-    The order is cut into buckets at fixed ids. Each bucket also gets the first row of the bucket that follows, so
-    one shuffle by bucket and one window find every next row; no task sees more than a bucket.
+    They come from quantiles of the ids, so a value that takes several of them is an id of many rows; it, like null, is
+    cut into equal ranges of the hash.
+    """
+    n, known = rows.agg(F.count("*"), F.count("id")).first()
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // per_bucket))
+    if n <= parts:
+        return []
+    asked = rows.where("id is not null").agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 5 * parts)).first()[0] or []
+    low, step = -(1 << 63), 1 << 64
+    cuts: set[tuple[bool, int, int]] = set()
+    held = Counter(asked)
+    for value, times in held.items():
+        cuts.add((True, value, low))
+        if times > 1:
+            cuts.update((True, value, low + step * i // (times + 1)) for i in range(1, times + 1))
+            if value < (1 << 63) - 1:
+                cuts.add((True, value + 1, low))
+    nulls = -(-(n - known) * parts // n)
+    cuts.update((False, 0, low + step * i // nulls) for i in range(1, nulls))
+    return sorted(cuts)
+
+
+def bucket_of(place: Column, cuts: list[tuple[bool, int, int]]) -> Column:
+    """Number of boundaries at or below a place, by binary search over a constant array."""
+    if not cuts:
+        return F.lit(0)
+    # one literal, folded into an array by the optimizer, however many boundaries there are
+    known, ids, hashed = (F.from_json(F.lit(json.dumps(c)), f"array<{t}>") for c, t in zip(zip(*cuts, strict=True), ("boolean", "bigint", "bigint"), strict=True))
+
+    def reached(i: Column) -> Column:
+        k, v, h = F.get(known, i), F.get(ids, i), F.get(hashed, i)
+        return (k < place["known"]) | ((k == place["known"]) & ((v < place["id"]) | ((v == place["id"]) & (h <= place["hash"]))))
+
+    steps = F.lit([1 << b for b in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(at + s > len(cuts), at).when(reached(at + s - 1), at + s).otherwise(at))
+
+
+def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", extra: Callable[[Column], Column] | None = None, per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """(id, text, extra, next_text, next_extra): every document with the next one in order, the last with the first.
+
+    Each bucket also gets the first row of the bucket that follows, so one shuffle by bucket and one window find every
+    next row; no task sees more than a bucket.
     """
-    rows = docs.select(F.col(key).alias("id"), whole_text(F.col(text)).alias("text"))
-    rows = rows.withColumn("bucket", order_buckets(rows, "id"))
-    first_ids = rows.groupBy("bucket").agg(F.min("id").alias("id"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), whole_text(F.col(text)).alias("text"))
+    cuts = boundaries(rows.select("id"), per_bucket)
+    rows = rows.withColumn("place", place_of("id", "text")).withColumn("bucket", bucket_of(F.col("place"), cuts))
+    first = rows.groupBy("bucket").agg(F.min("place").alias("place"))
     # as many rows as buckets, so they may meet in one task and be broadcast
-    chain = first_ids.withColumns(
-        {
-            "to": F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))),
-        }
-    )
-    first = rows.join(F.broadcast(chain), (rows["bucket"] == chain["bucket"]) & rows["id"].eqNullSafe(chain["id"])).select(rows["id"], rows["text"], "to")
-    first = first.groupBy("to", "id").agg(F.min("text").alias("text"))
-    every = rows.withColumn("last", F.lit(0)).unionByName(first.select("id", "text", F.col("to").alias("bucket"), F.lit(1).alias("last")))
+    every = Window.orderBy("bucket")
+    chain = first.withColumn("to", F.coalesce(F.lag("bucket").over(every), F.max("bucket").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    first = rows.join(F.broadcast(chain), ["bucket", "place"]).groupBy("to").agg(F.min(F.struct("place", "text", "id")).alias("f"))
+    led = rows.withColumn("last", F.lit(0)).unionByName(first.select("f.id", "f.text", "f.place", F.col("to").alias("bucket"), F.lit(1).alias("last")))
     if extra:
-        every = every.withColumn("extra", extra(F.col("text")))
-    w = Window.partitionBy("bucket").orderBy("last", F.col("id").asc_nulls_first(), "text")
-    led = every.withColumn("next_text", F.lead("text").over(w))
+        led = led.withColumn("extra", extra(F.col("text")))
+    w = Window.partitionBy("bucket").orderBy("last", "place", "text")
+    led = led.withColumn("next_text", F.lead("text").over(w))
     if extra:
         led = led.withColumn("next_extra", F.lead("extra").over(w))
-    return led.where(F.col("last") == 0).drop("bucket", "last")
+    return led.where(F.col("last") == 0).drop("bucket", "last", "place")
 
 
 def edited(text: Column, following: Column) -> Column:
