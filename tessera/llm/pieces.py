@@ -1,23 +1,30 @@
 """SentencePiece encoding and decoding with a streaming Viterbi search.
 
-The model is a BPE vocabulary with scores: the encoding of a text is the one that merging its best-scored pairs
-yields. That encoding is a path through the text's lattice of pieces in which any two neighbours (u, t) agree, i.e.
-merging u + t alone gives (u, t) again; from every boundary exactly one such path leads back to the start. The
-search therefore keeps one backpointer for each boundary of a window as long as the longest piece, and commits ids
-whenever all backpointer paths from the window pass through one boundary; memory does not depend on the length of
-the text.
-
-Pieces hold the blank mark only at their start (or are blanks only), and a line feed is in no piece, so a text is
-searched in units that start at blanks and line feeds. Units are remembered in two generations of bounded size.
-
-Ids equal those of the public library. Defined cases: null and empty texts have no ids and decode to the empty text;
-characters without a piece become byte pieces; a blank mark in a text is a blank; repeated rows are encoded one by
-one; other columns pass where the docstring says so.
+Every text is searched from left to right over the lattice of pieces that occur in it. Each boundary keeps the best sum
+of scores with which it is reached, the last piece and a backpointer. A piece can only start at one of the last
+``width`` boundaries (the longest piece), so whenever the backpointer paths of all of these pass through one boundary,
+what lies before it cannot change any more: its ids are committed and dropped from the window.
+
+Unigram models: the path with the best sum is the encoding. BPE models: the encoding is the one that merging the
+best-scored pairs yields, and that is rarely the path with the best sum. It is the path in which any two neighbours
+(u, t) agree, i.e. merging u + t alone gives (u, t) again; so a step is allowed only there, and the same search runs
+over the allowed steps. ``Encoder(model, merging=False)`` gives the path with the best sum for either kind.
+
+Where no piece crosses a blank or a line feed, all paths meet in front of each, so a text is searched in units
+that start there; the ids of frequent units are remembered, in two generations of bounded size. A text is cut at such
+places into slices of about SLICE characters; beyond a slice and the window only the ids that are returned are held.
+
+Ids equal those of the public library (which adds 32-bit floats over a whole text, so that near ties of a unigram model
+may fall differently there). Model files with rules that are not followed here (a normaliser, user-defined pieces, no byte
+pieces) are refused. Defined cases: null and empty texts have no ids and decode to the empty text; characters without a
+piece become byte pieces; a blank mark in a text is a blank; repeated rows are encoded one by one; of the other columns
+only the key passes.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,64 +38,115 @@ MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units and agreeing pairs that one worker remembers, in each of two generations.
 REMEMBERED = 200_000
-#: Boundaries that may wait before the search looks for a common one.
-WAITING = 64
+#: Longest unit that is remembered, in characters.
+SHORT = 64
+#: Characters of a text that are looked at together, up to the next blank.
+SLICE = 1 << 16
 UNIT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+BORDER = re.compile("(?<=[^ ]) ")
+#: Kinds of models and of pieces in model files.
+UNIGRAM, BPE = 1, 2
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+#: Fixed value: how far a character without a piece scores below the worst piece of a unigram model.
+UNKNOWN_PENALTY = 10.0
+
+
+def wire_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffers message; fixed-size and nested values as bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, varint()
+            continue
+        size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+        yield tag >> 3, data[at : at + size]
+        at += size
 
 
 class Model:
     """Pieces and scores of a model file, in plain tables that travel to the executors (about 1 MB)."""
 
     def __init__(self, path: str = DEFAULT_MODEL):
-        import sentencepiece
-
-        m = sentencepiece.SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as f:
+            parts = list(wire_fields(f.read()))
+        trainer = {n: v for k, part in parts if k == 2 for n, v in wire_fields(part)}
+        rules = {n: v for k, part in parts if k == 3 for n, v in wire_fields(part)}
+        self.kind = trainer.get(3, UNIGRAM)
+        if self.kind not in (UNIGRAM, BPE):
+            raise ValueError(f"{path}: only unigram and BPE models are supported")
+        if rules.get(2) or rules.get(4, 1) or not rules.get(5, 1) or trainer.get(24):
+            raise ValueError(f"{path}: models that normalise texts are not supported")
+        self.prefix = MARK if rules.get(3, 1) else ""
         self.ids: dict[str, int] = {}
-        self.scores: dict[str, float] = {}
+        self.pieces: list[str] = []
+        self.scores: list[float] = []
         self.bytes_of: list[bytes] = []
-        self.byte_ids = [0] * 256
-        for i in range(m.get_piece_size()):
-            piece = m.id_to_piece(i)
-            if m.is_byte(i):
+        self.byte_ids = [-1] * 256
+        for i, part in enumerate(part for k, part in parts if k == 1):
+            fields = dict(wire_fields(part))
+            piece, kind = fields[1].decode(), fields.get(3, NORMAL)
+            self.pieces.append(piece)
+            self.scores.append(struct.unpack("<f", fields[2])[0] if 2 in fields else 0.0)
+            if kind == BYTE:
                 value = int(piece[1:-1], 16)
                 self.byte_ids[value] = i
                 self.bytes_of.append(bytes([value]))
-            elif m.is_control(i) or m.is_unknown(i):
+            elif kind in (UNKNOWN, CONTROL):
                 self.bytes_of.append(b"")
-            else:
+            elif kind == NORMAL:
                 self.ids[piece] = i
-                self.scores[piece] = m.get_score(i)
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
-        self.pieces = [m.id_to_piece(i) for i in range(m.get_piece_size())]
+            else:
+                raise ValueError(f"{path}: piece {piece!r} is of a kind that is not supported")
+        if min(self.byte_ids) < 0:
+            raise ValueError(f"{path}: models without byte pieces are not supported")
         self.width = max(map(len, self.ids))
-        self.blanks = max(len(p) for p in self.ids if set(p) == {MARK})
+        #: whether all paths meet in front of blanks and around line feeds
+        self.in_units = not any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids)
 
 
 class Encoder:
-    """Encodes and decodes with one model; remembers units."""
+    """Encodes and decodes with one model; remembers units. ``merging``: neighbours have to agree, as BPE needs."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, merging: bool | None = None):
         self.model = model
+        self.merging = model.kind == BPE if merging is None else merging
+        # a character without a piece comes last where merging rules; there any sum of scores is above it
+        self.unknown = -1e12 if self.merging else min(model.scores[i] for i in model.ids.values()) - UNKNOWN_PENALTY
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
         self.shift = len(model.pieces).bit_length()
         found = ahocorasick.Automaton()
         for piece, i in model.ids.items():
-            found.add_word(piece, (i, len(piece)))
+            found.add_word(piece, (i, len(piece), model.scores[i]))
         found.make_automaton()
-        #: (end, (id, length)) of every piece that occurs in a string
+        #: (end, (id, length, score)) of every piece that occurs in a string, by end, the longest first
         self.matches = found.iter
 
     def merged(self, text: str) -> list[str]:
         """What merging the best pair, the leftmost of equals, leaves of a short string."""
-        parts, scores = list(text), self.model.scores
+        parts, ids, scores = list(text), self.model.ids, self.model.scores
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
-                s = scores.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
+                t = ids.get(parts[i] + parts[i + 1])
+                if t is not None and (best is None or scores[t] > best):
+                    best, at = scores[t], i
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
@@ -103,152 +161,108 @@ class Encoder:
         self.pairs[u << self.shift | t] = known
         return known
 
-    def path(self, text: str) -> Iterator[list[tuple[int, str]]]:
-        """The pieces of a unit (id, or -1 for a character without a piece, and text) in committed stretches."""
-        pairs, width, shift = self.pairs.get, self.model.width, self.shift
-        # boundary b of the window [base, i] has its backpointer at b - base; ``done`` is the last boundary that has one
-        start, last = [0], [-1]
-        base, done, n = 0, 0, len(text)
-        # matches come by their end, the longest first
-        for end, (t, size) in self.matches(text):
-            if end < done:
-                continue
-            while done < end:  # characters without a piece
-                start.append(done)
+    def search(self, text: str) -> Iterator[list[int]]:
+        """The ids of a string, in the stretches in which they are committed."""
+        merging, pairs, shift, unknown = self.merging, self.pairs.get, self.shift, self.unknown
+        width, limit = self.model.width, 2 * self.model.width
+        # boundary b of the window [base, done] has its best sum, backpointer and last piece at b - base
+        best, back, last = [0.0], [0], [-1]
+        base = done = 0
+        for at, (t, size, score) in self.matches(text):
+            end = at + 1
+            while done < end:  # earlier boundaries are final; a character without a piece leads to the new one
+                if done - base >= limit:
+                    keep = self.meeting(back, base, done, width)
+                    if keep > base:
+                        yield self.walk(text, back, last, base, keep)
+                        del best[: keep - base], back[: keep - base], last[: keep - base]
+                        base = keep
+                    limit = done - base + width
+                best.append(best[-1] + unknown)
+                back.append(done)
                 last.append(-1)
                 done += 1
-            j = end + 1 - size
-            if j < base:
-                continue
-            u = last[j - base]
-            if j and u >= 0:
-                fit = pairs(u << shift | t)
-                if fit is None:
-                    fit = self.agree(u, t)
-                if not fit:
-                    continue
-            start.append(j)
-            last.append(t)
-            done = end + 1
-            if done - base >= WAITING and done % width == 0:
-                keep = self.common(start, base, done, width)
-                if keep > base:
-                    yield self.walk(text, start, last, base, keep)
-                    del start[: keep - base], last[: keep - base]
-                    base = keep
-        while done < n:
-            start.append(done)
+            start = end - size
+            if merging:
+                u = last[start - base]
+                if u >= 0:
+                    fit = pairs(u << shift | t)
+                    if not fit and (fit is not None or not self.agree(u, t)):
+                        continue
+            total = best[start - base] + score
+            if total > best[-1]:
+                best[-1], back[-1], last[-1] = total, start, t
+        for b in range(done, len(text)):
+            back.append(b)
             last.append(-1)
-            done += 1
-        yield self.walk(text, start, last, base, n)
+        yield self.walk(text, back, last, base, len(text))
 
     @staticmethod
-    def common(start: list[int], base: int, i: int, width: int) -> int:
-        """The boundary before the one at which all backpointer paths from the last ``width`` boundaries meet.
-
-        It stays in the window, as the left neighbour of what follows.
-        """
-        front = set(range(i - width + 1, i + 1))
+    def meeting(back: list[int], base: int, done: int, width: int) -> int:
+        """The boundary through which the paths of all boundaries from which a piece may still start pass, or base."""
+        front = set(range(done - width + 1, done + 1))
         while len(front) > 1:
             far = max(front)
             front.remove(far)
-            front.add(max(base, start[far - base]))
-        meet = front.pop()
-        return max(base, start[meet - base])
+            front.add(max(base, back[far - base]))
+        return front.pop()
 
-    @staticmethod
-    def walk(text: str, start: list[int], last: list[int], base: int, end: int) -> list[tuple[int, str]]:
-        out = []
-        while end > base:
-            before = start[end - base]
-            out.append((last[end - base], text[before:end]))
-            end = before
-        return out[::-1]
-
-    def short_ids(self, text: str) -> list[int]:
-        """The same search for a unit that fits in the window, so that nothing is committed early."""
-        pairs, shift = self.pairs.get, self.shift
-        n, done = len(text), 0
-        start, last = list(range(-1, n)), [-1] * (n + 1)
-        for end, (t, size) in self.matches(text):
-            if end < done:
-                continue
-            j = end + 1 - size
-            u = last[j]
-            if j and u >= 0:
-                fit = pairs(u << shift | t)
-                if not fit and (fit is not None or not self.agree(u, t)):
-                    continue
-            done = end + 1
-            start[done] = j
-            last[done] = t
+    def walk(self, text: str, back: list[int], last: list[int], base: int, end: int) -> list[int]:
+        """Ids of the path that leads from base to a boundary."""
         out: list[int] = []
-        while n:
-            t, j = last[n], start[n]
+        while end > base:
+            before, t = back[end - base], last[end - base]
             if t < 0:
-                out.extend(self.model.byte_ids[b] for b in reversed(text[j:n].encode()))
+                out.extend(self.model.byte_ids[b] for b in reversed(text[before:end].encode()))
             else:
                 out.append(t)
-            n = j
+            end = before
         out.reverse()
         return out
 
-    def ids_of(self, text: str) -> list[int]:
-        if len(text) <= WAITING:
-            return self.short_ids(text)
-        out: list[int] = []
-        for stretch in self.path(text):
-            for t, piece in stretch:
-                if t < 0:
-                    out.extend(self.model.byte_ids[b] for b in piece.encode())
-                else:
-                    out.append(t)
-        return out
-
-    def blank_run(self, n: int) -> list[int]:
-        """A run of blanks: the longest blank pieces from the left, and what merging leaves of the rest."""
-        most = self.model.blanks
-        whole = max(0, n // most - 1)
-        parts = [MARK * most] * whole + self.merged(MARK * (n - whole * most))
-        return [self.model.ids[p] for p in parts]
-
     def unit(self, text: str) -> tuple[int, ...]:
-        """Ids of one unit: blanks, then characters without blanks."""
-        found = self.young.get(text) or self.old.get(text)
+        """Ids of one unit, from memory or by the search."""
+        found = self.old.get(text)
         if found is None:
-            rest = text.lstrip(MARK)
-            marks = len(text) - len(rest)
-            if marks <= 1:
-                found = tuple(self.ids_of(text))
-            else:
-                tail = self.ids_of(MARK + rest)
-                alone = tail[0] == self.model.ids[MARK]
-                found = tuple(self.blank_run(marks) + tail[1:] if alone else self.blank_run(marks - 1) + tail)
-        if len(text) <= WAITING:
+            found = tuple(chain.from_iterable(self.search(text)))
+        if len(text) <= SHORT:
             if len(self.young) >= REMEMBERED:
                 self.old, self.young = self.young, {}
             self.young[text] = found
         return found
 
+    def stretches(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text, a slice at a time."""
+        text, first = text.replace(MARK, " "), self.model.prefix
+        if not self.model.in_units:
+            yield from self.search(first + text.replace(" ", MARK))
+            return
+        at, n = 0, len(text)
+        while at < n:
+            border = BORDER.search(text, at + SLICE)
+            end = border.start() if border else n
+            part = text[at:end]
+            # a later slice starts at its blank, which is the mark of its first unit
+            if at:
+                part, first = part[1:], MARK
+            if "  " in part or part[:1] in ("", " ") or part[-1:] == " " or " \n" in part or not first:
+                units = UNIT.findall(first + part.replace(" ", MARK))
+            else:
+                units = (first + part.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
+            found = list(map(self.young.get, units))
+            if None in found:
+                unit = self.unit
+                found = [f if f is not None else unit(u) if u else () for f, u in zip(found, units, strict=True)]
+            yield list(chain.from_iterable(found))
+            at = end
+
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if MARK in text:
-            text = text.replace(MARK, " ")
-        if "  " in text or text[0] == " " or text[-1] == " " or " \n" in text:
-            units = UNIT.findall(MARK + text.replace(" ", MARK))
-        else:
-            units = (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
-        found = list(map(self.young.get, units))
-        if None in found:
-            unit = self.unit
-            found = [f if f is not None else unit(u) if u else () for f, u in zip(found, units, strict=True)]
-        return list(chain.from_iterable(found))
+        return list(chain.from_iterable(self.stretches(text))) if text else []
 
     def decode(self, ids: list[int]) -> str:
         table = self.model.bytes_of
         out = b"".join([table[i] for i in ids])
-        return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
+        return (out[1:] if self.model.prefix and out[:1] == b" " else out).decode("utf-8", "replace")
 
 
 #: One encoder for each model in a worker process, so that tasks share what was remembered.
@@ -256,7 +270,7 @@ ENCODERS: dict[tuple, Encoder] = {}
 
 
 def encoder(model: Model) -> Encoder:
-    key = (len(model.ids), hash(tuple(model.ids)))
+    key = (model.kind, model.prefix, hash((tuple(model.pieces), tuple(model.scores))))
     if key not in ENCODERS:
         ENCODERS.clear()
         ENCODERS[key] = Encoder(model)

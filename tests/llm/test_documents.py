@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -208,19 +209,103 @@ def test_pieces(which, request):
     assert multiset((r["doc_id"], r["text"]) for r in back) == multiset((k, t or "") for k, t in pairs(docs))
 
 
+ODD = list("abcdefghinrst1é漢🙂") + [" ", "  ", "\n", " \n", "▁", "the ", " of", "tion", "   "]
+
+
+def odd_texts(n, seed, most=60):
+    rng = np.random.default_rng(seed)
+    return ["".join(rng.choice(ODD, int(rng.integers(1, most)))) for _ in range(n)]
+
+
 def test_pieces_commit_early():
-    """Long units are committed in stretches, and equal the public library's ids."""
+    """Ids are committed in stretches, and equal the public library's."""
     import sentencepiece
 
     public = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
     e = pieces.Encoder(pieces.Model())
-    rng = np.random.default_rng(2)
-    text = "".join(rng.choice(list("abcdefghinrst1é漢🙂"), 5000))
-    assert len(list(e.path(pieces.MARK + text))) > 10
-    assert e.encode(text) == public.encode(text)
+    text = "".join(np.random.default_rng(2).choice(list("abcdefghinrst1é漢🙂"), 5000))
+    stretches = list(e.search(pieces.MARK + text))
+    assert len(stretches) > 50 and max(map(len, stretches)) < 100
+    assert [i for s in stretches for i in s] == e.encode(text) == public.encode(text)
     for n in (2, 14, 15, 16, 17, 31, 33, 500):
         for s in (" " * n, " " * n + "x", "a" + " " * n + "b\n"):
-            assert e.encode(s) == public.encode(s)
+            assert e.encode(s) == public.encode(s), s
+    for s in odd_texts(2000, 3):
+        assert e.encode(s) == public.encode(s), s
+
+
+def test_pieces_by_slices(monkeypatch):
+    """Where a text is cut into slices does not matter."""
+    e, small = (pieces.Encoder(pieces.Model()) for _ in range(2))
+    for s in odd_texts(300, 4, 200):
+        monkeypatch.setattr(pieces, "SLICE", 7)
+        got = list(small.stretches(s))
+        monkeypatch.setattr(pieces, "SLICE", 1 << 16)
+        assert [i for g in got for i in g] == e.encode(s) and (len(s) < 40 or len(got) > 1 or " " not in s.strip())
+
+
+def field(number, value):
+    """A length-delimited, float or whole-number field of a protocol buffers message."""
+
+    def varint(x):
+        return bytes([x]) if x < 128 else bytes([x & 127 | 128]) + varint(x >> 7)
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+@pytest.fixture(scope="module")
+def unigram_file(tmp_path_factory):
+    """The given vocabulary as a unigram model: some of its pieces, scored by length and rank in sixteenths."""
+    base = pieces.Model()
+    rng = np.random.default_rng(5)
+    out = b""
+    for i, p in enumerate(base.pieces):
+        kind = 2 if i == 0 else 3 if i < 3 else 6 if i in base.byte_ids else 1
+        if kind != 1 or p == "▁" or len(p) == 1 and p.isascii() or rng.random() < 0.7:
+            out += field(1, field(1, p.encode()) + field(2, 0.0 if kind != 1 else -float(rng.integers(16 * (2 + i // 4000), 16 * (4 + i // 2000))) / 16) + field(3, kind))
+    path = tmp_path_factory.mktemp("model") / "unigram.model"
+    path.write_bytes(out + field(2, field(3, 1) + field(35, 1)) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1)))
+    return str(path)
+
+
+def test_unigram_pieces(unigram_file, table):
+    import sentencepiece
+
+    public = sentencepiece.SentencePieceProcessor(model_file=unigram_file)
+    e = pieces.Encoder(pieces.Model(unigram_file))
+    assert e.model.kind == pieces.UNIGRAM and not e.merging
+    texts = odd_texts(1500, 6) + [t for _, t in pairs(table)][:60] + ["".join(np.random.default_rng(7).choice(list("abcdefghinrst1é漢"), 3000))]
+    for s in texts:
+        assert e.encode(s) == public.encode(s), s
+        assert e.decode(e.encode(s)) == s.replace("▁", " ")
+    assert len(list(e.search("abcdefghij" * 300))) > 10
+
+
+def test_viterbi_finds_the_best_sum():
+    """Against all paths of short strings, with scores alone."""
+    e = pieces.Encoder(pieces.Model(), merging=False)
+    ids, scores = e.model.ids, e.model.scores
+
+    def best(s):
+        return max((scores[ids[s[:i]]] + best(s[i:]) for i in range(1, len(s) + 1) if s[:i] in ids), default=0.0 if not s else -1e9)
+
+    for w in ("▁internation", "abcdefgh", "▁the", "tionist", "nnnnnnn"):
+        assert sum(scores[i] for i in e.unit(w)) == best(w)
+
+
+def test_model_files_are_checked(tmp_path, unigram_file):
+    data = open(unigram_file, "rb").read()
+    for extra, why in ((field(2, field(3, 3)), "unigram and BPE"), (field(3, field(4, 1)), "normalise"), (field(1, field(1, b"own") + field(3, 4)), "kind")):
+        (tmp_path / "m").write_bytes(data + extra)
+        with pytest.raises(ValueError, match=why):
+            pieces.Model(str(tmp_path / "m"))
+    (tmp_path / "m").write_bytes(field(1, field(1, b"a")) + data[-40:])
+    with pytest.raises((ValueError, IndexError, KeyError)):
+        pieces.Model(str(tmp_path / "m"))
 
 
 @pytest.mark.parametrize("which", ["table", "edge_docs", "no_docs"])
