@@ -8,13 +8,17 @@ A document's set is the hashes of its different runs of ``shingle`` words. Its s
    least ``least_shared(k)`` values, but for a chance of 1e-9, so they share one of the rarest k - least_shared + 1
    values of each, in order of document frequency. Only these rarest values make lists. A value that a third of
    all documents retain is thus left out, except in documents made mostly of such values.
-3. Each list is compared around its hub, the smallest id in it: rows (hub, document) are grouped by hub, so a pair
-   that shares many lists is compared once. Large groups are cut into blocks by bytes, and each pair of blocks is a
-   task of its own. In a task, the union-sketch estimate filters pairs (again with a chance of loss of 1e-9), then
-   exact Jaccard on full sets verifies. Documents linked to the first of a task are one component already; pairs
-   between components have an end outside the largest one, so only these are compared with all. A task returns
-   a spanning forest of its links, never all pairs.
-4. Components of the links by label spreading with pointer jumps.
+3. Each list is compared around a hub, its document with the most frequent sketch values, which in a group of near
+   copies is close to what they were copied from. A row (hub, document) carries a set once, and blocks of a large group
+   carry the hub's set along, so what is shuffled grows with the lists, not with pairs. The union-sketch estimate filters
+   (again with a chance of loss of 1e-9), exact Jaccard on full sets verifies. A hub is then done in its list. After
+   components are taken, lists whose documents are all in one are done too; the others get a second hub, outside the
+   list's largest component.
+4. What is left are pairs with an end outside the largest component of a list that neither hub told apart. These ends are
+   compared with their whole lists, in blocks of both: one block of ends, as a rule, so that sets are again sent once.
+   Only a dense group whose documents share half of their sketches and are not linked has many blocks of both, and its
+   candidates are quadratic by nature. A task returns a spanning forest of its links, never all pairs.
+5. Components of the links by label spreading with pointer jumps.
 
 Defined cases: null and blank texts have an empty set, linked with nothing; texts under ``shingle`` words have one
 shingle, the whole sequence; repeated rows are one class; rows that share an id are one document in links; rows with
@@ -30,18 +34,20 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import wordbytes as wb
-from tessera.llm.shared import cut
+from tessera.llm.shared import cut, new_folder
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Chance that a pair at the threshold is lost in each statistical step.
 LOSS = 1e-9
-#: Bytes of full sets in one block of a group.
-BLOCK_BYTES = 8_000_000
+#: Bytes of full sets, and documents, in one block of a group.
+BLOCK_BYTES, BLOCK_ROWS = 1_000_000, 500
+#: Rounds in which lists are compared with one hub each.
+STARS = 2
 
 
 @dataclass(frozen=True)
@@ -100,38 +106,100 @@ def sketches(docs: DataFrame, near: Near, key: str, text: str) -> DataFrame:
 
 
 def prefix_lists(reps: DataFrame, near: Near) -> DataFrame:
-    """(value, id, n): the lists that have two documents or more, of the rarest retained values of each document."""
+    """(value, id, n, w): the rarest retained values of each document; w is high where its sketch is often retained."""
     values = reps.select("id", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
     often = cut(values.groupBy("value").agg(F.count("*").alias("df")).where(F.col("df") > 1))
-    shared = values.join(often, "value").groupBy("id", "n", "s").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
+    shared = values.join(often, "value").groupBy("id", "n", "s").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"), F.sum("df").alias("w"))
     # small sets are retained whole, with all sets they can be linked with: the bound on their overlap is exact
     exact = F.col("n") * 100 <= near.k * near.percent
     need = F.when(exact, F.ceil(F.col("n") * near.percent / 100)).otherwise(least_shared(near.k, near.percent))
     length = F.col("s") - F.least(need, F.col("s")) + 1 - (F.col("s") - F.size("v"))
-    kept = shared.select("id", "n", F.explode(F.slice("v", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("e"))
-    return kept.select(F.col("e.value").alias("value"), "id", "n")
-
-
-def hub_groups(lists: DataFrame) -> DataFrame:
-    """(id, places): for every document that some list pairs, the (hub, block, blocks) it is compared in."""
-    lists = cut(lists)
-    hubs = cut(lists.groupBy("value").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where(F.col("c") > 1).select("value", "hub"))
-    pairs = cut(lists.join(hubs, "value").groupBy("hub", "id").agg(F.max("n").alias("n")))
-    sizes = cut(pairs.groupBy("hub").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks")))
-    placed = pairs.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    return placed.groupBy("id").agg(F.collect_list(F.struct("hub", "block", "blocks")).alias("places"))
+    kept = shared.select("id", "n", "w", F.explode(F.slice("v", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("e"))
+    return kept.select(F.col("e.value").alias("value"), "id", "n", "w")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, near: Near, key: str, text: str) -> DataFrame:
-    """(id, places, items): the whole sets of the wanted documents, as the bytes of sorted hashes."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(wanted, "id")
+    """(id, items): the whole sets of the wanted documents, as the bytes of sorted hashes, written once."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             items = [s.tobytes() for s in sets_of(*wb.text_bytes(b.column(1)), near.shingle)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(items, pa.binary())], names=["id", "places", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.binary())], names=["id", "items"])
+
+    path = new_folder(docs.sparkSession, "near-sets")
+    rows.join(wanted, "id").select("id", "text").mapInArrow(run, "id long, items binary").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def open_lists(lists: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lists with components c, and (value, top) for those of several components; top is the largest of them."""
+    c = F.coalesce("component", "id").alias("c")
+    named = cut(lists.join(label, "id", "left").select("value", "id", "n", "w", c))
+    sizes = named.groupBy("value", "c").agg(F.count("*").alias("size"))
+    top = sizes.groupBy("value").agg(F.max(F.struct("size", "c")).alias("t"), F.count("*").alias("parts"))
+    return named, cut(top.where("parts > 1").select("value", F.col("t.c").alias("top")))
+
+
+def fits(near: Near, n: Column, m: Column) -> Column:
+    """Whether sets of these sizes can reach the threshold."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * near.percent
+
+
+def star_pairs(lists: DataFrame, near: Near) -> DataFrame:
+    """(hub, hub_n, id, n): the different pairs of lists with a hub, in which they can be linked."""
+    pair = (F.col("c") != F.col("hub.c")) & fits(near, F.col("n"), F.col("hub.n"))
+    return lists.where(pair).groupBy(F.col("hub.id").alias("hub"), "id").agg(F.max("hub.n").alias("hub_n"), F.max("n").alias("n"))
+
+
+def with_hubs(lists: DataFrame, outside: Column) -> DataFrame:
+    """Lists with a hub, the member with the largest w (then the smallest id) of those that may be one."""
+    best = F.max(F.when(outside, F.struct("w", (-F.col("id")).alias("low"), "id", "n", "c"))).alias("hub")
+    return lists.join(cut(lists.groupBy("value").agg(best).where("hub is not null")), "value")
 
-    return rows.select("id", "text", "places").mapInArrow(run, "id long, places array<struct<hub: long, block: int, blocks: int>>, items binary")
+
+def star_links(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """(a, b): the pairs (hub, id) that are linked. Every set is sent once for each of its hubs, a hub's to each block."""
+    pairs = cut(pairs)
+    size = F.greatest(F.lit(BLOCK_BYTES), F.max("hub_n") * 32)
+    blocks = F.greatest(F.ceil(F.sum("n") * 8 / size), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int")
+    hubs = cut(pairs.groupBy("hub").agg(blocks.alias("blocks")))
+    place = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
+    members = pairs.join(hubs, "hub").select("hub", place, "id", F.lit(1).alias("member"))
+    centres = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("id"), F.lit(0).alias("member"))
+    dealt = members.unionByName(centres).join(sets, "id").repartition("hub", "block").sortWithinPartitions("hub", "block", "member", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 2):
+            found = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()]
+            linked = hub_links(found, near)
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(linked), t.column("hub")[0].as_py())), pa.array(t.column("id").to_numpy()[linked])], names=["a", "b"])
+
+    return dealt.select("hub", "block", "id", "items").mapInArrow(run, "a long, b long")
+
+
+def hub_links(sets: list[np.ndarray], near: Near) -> np.ndarray:
+    """Places of the sets that are linked to the first one."""
+    hub, sizes = sets[0], np.array([len(s) for s in sets])
+    table, lengths = padded(sets, near.k)
+    others = np.arange(1, len(sets))
+    sure = np.maximum(sizes[others], sizes[0]) < near.k
+    others = others[sure | (estimated(table, lengths, 0, others, near.k) >= least_shared(near.k, near.percent))]
+    if not len(others):
+        return others
+    flat = np.concatenate([sets[i] for i in others])
+    inside = hub[np.minimum(np.searchsorted(hub, flat), len(hub) - 1)] == flat
+    both = np.add.reduceat(inside.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[others])[:-1]]))
+    return others[both * 100 >= near.percent * (sizes[others] + sizes[0] - both)]
+
+
+def padded(sets: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A table of the sets' sketches, and their lengths."""
+    table = np.full((len(sets), k), np.iinfo(np.uint64).max, np.uint64)
+    for i, s in enumerate(sets):
+        table[i, : min(k, len(s))] = s[:k]
+    return table, np.minimum([len(s) for s in sets], k)
 
 
 def shares(sets: list[np.ndarray], x: int, others: np.ndarray, postings: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
@@ -153,21 +221,18 @@ def estimated(table: np.ndarray, lengths: np.ndarray, x: int, others: np.ndarray
     return (common & (np.arange(table.shape[1]) + place - before < k)).sum(axis=1)
 
 
-def task_links(ids: np.ndarray, sets: list[np.ndarray], near: Near) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets of one task, of one or two blocks."""
+def task_links(ids: np.ndarray, sets: list[np.ndarray], component: np.ndarray, ends: np.ndarray, near: Near) -> list[tuple[int, int]]:
+    """A spanning forest of the links between components among the sets of one task, with an end in ``ends``."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     k, need = near.k, least_shared(near.k, near.percent)
-    table = np.full((n, k), np.iinfo(np.uint64).max, np.uint64)
-    for i, s in enumerate(sets):
-        table[i, : min(k, len(s))] = s[:k]
-    lengths = np.minimum(sizes, k)
+    table, lengths = padded(sets, k)
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
     owner = np.repeat(np.arange(n), sizes)[order]
     values, first = np.unique(flat[order], return_index=True)
     postings = (values, np.append(first, len(flat)), owner)
-    root = np.arange(n)
+    root = component.copy()
     found: list[tuple[int, int]] = []
 
     def compare(x: int) -> None:
@@ -188,10 +253,7 @@ def task_links(ids: np.ndarray, sets: list[np.ndarray], near: Near) -> list[tupl
                 found.append((int(ids[x]), int(ids[y])))
                 root[root == root[y]] = root[x]
 
-    compare(0)
-    label, count = np.unique(root, return_counts=True)
-    largest = label[count.argmax()]
-    for x in np.flatnonzero(root != largest).tolist():
+    for x in ends.tolist():
         compare(x)
     return found
 
@@ -213,24 +275,59 @@ def whole_groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def links(sets: DataFrame, near: Near) -> DataFrame:
-    """(a, b): links between documents, enough of them to connect what the threshold connects."""
-    each = sets.select("id", "items", F.explode("places").alias("p")).select("id", "items", "p.*")
-    # block i meets every block j: the task of a pair is (smaller, larger)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    tasks = each.select("hub", "block", other, "id", "items").select("hub", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "id", "items")
+def rest_tasks(lists: DataFrame) -> DataFrame:
+    """(hub, i, j, id, c, end): tasks of what the hubs did not settle. i counts blocks of ends, j blocks of all members.
+
+    ``lists`` has hubs and top; a list is known by its hub, so that equal lists are one group.
+    """
+    end = F.max((F.col("c") != F.col("top")).cast("int")).alias("end")
+    members = cut(lists.groupBy(F.col("hub.id").alias("hub"), "id").agg(F.max("n").alias("n"), F.max("c").alias("c"), end))
+    blocks = lambda rows, size: F.greatest(F.lit(1), F.ceil(size * 8 / (4 * BLOCK_BYTES)), F.ceil(rows / BLOCK_ROWS)).cast("int")
+    groups = cut(members.groupBy("hub").agg(blocks(F.sum("end"), F.sum(F.col("n") * F.col("end"))).alias("ni"), blocks(F.count("*"), F.sum("n")).alias("nj")))
+    placed = members.join(groups, "hub")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    ends = placed.where("end = 1").select("hub", own("ni").alias("i"), every("nj").alias("j"), "id", "c", F.lit(1).alias("end"))
+    others = placed.select("hub", every("ni").alias("i"), own("nj").alias("j"), "id", "c", F.lit(0).alias("end"))
+    return ends.unionByName(others).groupBy("hub", "i", "j", "id", "c").agg(F.max("end").alias("end"))
+
+
+def rest_links(tasks: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """(a, b): links between components in the tasks, enough of them to connect what the threshold connects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, 3):
             if t.num_rows > 1:
                 sets = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()]
-                found = task_links(t.column("id").to_numpy(), sets, near)
+                component = np.unique(t.column("c").to_numpy(), return_inverse=True)[1]
+                found = task_links(t.column("id").to_numpy(), sets, component, np.flatnonzero(t.column("end").to_numpy()), near)
                 if found:
                     a, b = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = tasks.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "id")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = tasks.join(sets, "id").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "id")
+    return dealt.select("hub", "i", "j", "id", "c", "end", "items").mapInArrow(run, "a long, b long")
+
+
+def links(docs: DataFrame, reps: DataFrame, near: Near, key: str, text: str) -> DataFrame:
+    """(id, component) of the representatives that are linked."""
+    lists = cut(prefix_lists(reps, near))
+    lists = cut(lists.join(lists.groupBy("value").agg(F.count("*").alias("held")).where("held > 1"), "value", "left_semi"))
+    sets = full_sets(docs, lists.select("id").distinct(), near, key, text)
+    lists = lists.withColumn("c", F.col("id"))
+    hubbed = cut(with_hubs(lists, F.lit(True)))
+    found = cut(star_links(star_pairs(hubbed, near), sets, near))
+    for star in range(STARS):
+        label = components(found)
+        # a hub has been compared with all of its list
+        left = hubbed.where(F.col("id") != F.col("hub.id")).select("value", "id", "n", "w")
+        named, top = open_lists(left, label)
+        if top.isEmpty():
+            return label
+        hubbed = cut(with_hubs(named.join(top, "value"), F.col("c") != F.col("top")))
+        more = star_links(star_pairs(hubbed, near), sets, near) if star < STARS - 1 else rest_links(rest_tasks(hubbed), sets, near)
+        found = cut(found.unionByName(more))
+    return components(found)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -258,8 +355,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), key: str = "doc_id", t
     full = every.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = cut(full.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("members")))
     reps = full.join(classes.select(F.col("rep").alias("id"), "n", "h1", "h2"), ["id", "n", "h1", "h2"]).dropDuplicates(["id", "n", "h1", "h2"]).select("id", "n", "sketch")
-    wanted = hub_groups(prefix_lists(reps, near))
-    label = components(cut(links(full_sets(docs, wanted, near, key, text), near)))
+    label = links(docs, cut(reps), near, key, text)
     named = classes.join(label, classes["rep"] == label["id"], "left").select("n", "h1", "h2", "members", F.coalesce("component", "rep").alias("component"))
     # only classes of several documents or with links have to be looked up
     named = cut(named)

@@ -126,7 +126,8 @@ def test_near_duplicates(which, near, request):
 
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """A group that is cut into blocks, with copies on both sides of the threshold."""
-    monkeypatch.setattr(neardup, "BLOCK_BYTES", 40_000)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 20)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(300)]
     rows = []
@@ -141,6 +142,37 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert len({c for _, c in got.values()}) > 1
 
 
+@pytest.mark.parametrize("edits", [4, 20])
+def test_near_duplicate_rows_are_linear(spark, monkeypatch, edits):
+    """One large group of near copies, cut into many blocks: sets are sent a few times each, not once for each block."""
+    sent = {"pairs": 0, "tasks": 0}
+    star, rest = neardup.star_links, neardup.rest_links
+
+    def counted_star(pairs, sets, near):
+        sent["pairs"] += pairs.count()
+        return star(pairs, sets, near)
+
+    def counted_rest(tasks, sets, near):
+        sent["tasks"] += tasks.count()
+        return rest(tasks, sets, near)
+
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(neardup, "star_links", counted_star)
+    monkeypatch.setattr(neardup, "rest_links", counted_rest)
+    rng = np.random.default_rng(15)
+    base = [f"w{i}" for i in range(600)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 600):
+        w = list(base)
+        for at in rng.integers(0, 600, edits).tolist():
+            w[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in neardup.near_duplicates(docs, neardup.Near(3, 85)).collect()}
+    assert got == {k: c for k, (_, c) in brute.near_components(rows, 3, 85).items()}
+    assert sent["pairs"] + sent["tasks"] <= 12 * len(rows), sent
+
+
 @pytest.mark.parametrize("which", ["table", "edge_docs", "no_docs"])
 def test_repeated_bytes(which, request):
     docs = request.getfixturevalue(which)
