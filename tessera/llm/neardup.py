@@ -11,11 +11,10 @@ A document's set is the hashes of its different runs of ``shingle`` words. Its s
 3. Each list is compared around a hub, its document with the most frequent sketch values, which in a group of near
    copies is close to what they were copied from. A row (hub, document) carries a set once, and blocks of a large group
    carry the hub's set along, so what is shuffled grows with the lists, not with pairs. The union-sketch estimate filters
-   (again with a chance of loss of 1e-9), exact Jaccard on full sets verifies. A hub is then done in its list. After
-   components are taken, lists whose documents are all in one are done too; the others get a second hub, outside the
-   list's largest component.
-4. What is left are pairs with an end outside the largest component of a list that neither hub told apart. These ends are
-   compared with their whole lists, in blocks of both: one block of ends, as a rule, so that sets are again sent once.
+   (again with a chance of loss of 1e-9), exact Jaccard on full sets verifies. A hub is then done in its list, and so
+   is, after components are taken, a list whose documents are all in one.
+4. What is left are pairs with an end outside the largest component of a list. These ends are compared with their whole
+   lists, in blocks of both: one block of ends, as a rule, so that sets are again sent once.
    Only a dense group whose documents share half of their sketches and are not linked has many blocks of both, and its
    candidates are quadratic by nature. A task returns a spanning forest of its links, never all pairs.
 5. Components of the links by label spreading with pointer jumps.
@@ -46,8 +45,6 @@ LOWER[65:91] += 32
 LOSS = 1e-9
 #: Bytes of full sets, and documents, in one block of a group.
 BLOCK_BYTES, BLOCK_ROWS = 1_000_000, 500
-#: Rounds in which lists are compared with one hub each.
-STARS = 2
 
 
 @dataclass(frozen=True)
@@ -132,13 +129,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, near: Near, key: str, text: st
     return docs.sparkSession.read.parquet(path)
 
 
-def open_lists(lists: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lists with components c, and (value, top) for those of several components; top is the largest of them."""
+def open_lists(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """The lists of several components, with component c of each row and the largest of the list, top."""
     c = F.coalesce("component", "id").alias("c")
     named = cut(lists.join(label, "id", "left").select("value", "id", "n", "w", c))
     sizes = named.groupBy("value", "c").agg(F.count("*").alias("size"))
     top = sizes.groupBy("value").agg(F.max(F.struct("size", "c")).alias("t"), F.count("*").alias("parts"))
-    return named, cut(top.where("parts > 1").select("value", F.col("t.c").alias("top")))
+    return named.join(top.where("parts > 1").select("value", F.col("t.c").alias("top")), "value")
 
 
 def fits(near: Near, n: Column, m: Column) -> Column:
@@ -153,9 +150,10 @@ def star_pairs(lists: DataFrame, near: Near) -> DataFrame:
 
 
 def with_hubs(lists: DataFrame, outside: Column) -> DataFrame:
-    """Lists with a hub, the member with the largest w (then the smallest id) of those that may be one."""
+    """Lists of two or more with a hub, the member with the largest w (then the smallest id) of those that may be one."""
     best = F.max(F.when(outside, F.struct("w", (-F.col("id")).alias("low"), "id", "n", "c"))).alias("hub")
-    return lists.join(cut(lists.groupBy("value").agg(best).where("hub is not null")), "value")
+    hubs = lists.groupBy("value").agg(best, F.count("*").alias("held")).where("hub is not null and held > 1")
+    return cut(lists.join(hubs.drop("held"), "value"))
 
 
 def star_links(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
@@ -163,7 +161,7 @@ def star_links(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     pairs = cut(pairs)
     size = F.greatest(F.lit(BLOCK_BYTES), F.max("hub_n") * 32)
     blocks = F.greatest(F.ceil(F.sum("n") * 8 / size), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int")
-    hubs = cut(pairs.groupBy("hub").agg(blocks.alias("blocks")))
+    hubs = pairs.groupBy("hub").agg(blocks.alias("blocks"))
     place = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
     members = pairs.join(hubs, "hub").select("hub", place, "id", F.lit(1).alias("member"))
     centres = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("id"), F.lit(0).alias("member"))
@@ -283,7 +281,7 @@ def rest_tasks(lists: DataFrame) -> DataFrame:
     end = F.max((F.col("c") != F.col("top")).cast("int")).alias("end")
     members = cut(lists.groupBy(F.col("hub.id").alias("hub"), "id").agg(F.max("n").alias("n"), F.max("c").alias("c"), end))
     blocks = lambda rows, size: F.greatest(F.lit(1), F.ceil(size * 8 / (4 * BLOCK_BYTES)), F.ceil(rows / BLOCK_ROWS)).cast("int")
-    groups = cut(members.groupBy("hub").agg(blocks(F.sum("end"), F.sum(F.col("n") * F.col("end"))).alias("ni"), blocks(F.count("*"), F.sum("n")).alias("nj")))
+    groups = members.groupBy("hub").agg(blocks(F.sum("end"), F.sum(F.col("n") * F.col("end"))).alias("ni"), blocks(F.count("*"), F.sum("n")).alias("nj"))
     placed = members.join(groups, "hub")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -311,23 +309,17 @@ def rest_links(tasks: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
 
 def links(docs: DataFrame, reps: DataFrame, near: Near, key: str, text: str) -> DataFrame:
     """(id, component) of the representatives that are linked."""
-    lists = cut(prefix_lists(reps, near))
-    lists = cut(lists.join(lists.groupBy("value").agg(F.count("*").alias("held")).where("held > 1"), "value", "left_semi"))
-    sets = full_sets(docs, lists.select("id").distinct(), near, key, text)
-    lists = lists.withColumn("c", F.col("id"))
-    hubbed = cut(with_hubs(lists, F.lit(True)))
+    hubbed = with_hubs(cut(prefix_lists(reps, near)).withColumn("c", F.col("id")), F.lit(True))
+    sets = full_sets(docs, hubbed.select("id").distinct(), near, key, text)
     found = cut(star_links(star_pairs(hubbed, near), sets, near))
-    for star in range(STARS):
-        label = components(found)
-        # a hub has been compared with all of its list
-        left = hubbed.where(F.col("id") != F.col("hub.id")).select("value", "id", "n", "w")
-        named, top = open_lists(left, label)
-        if top.isEmpty():
-            return label
-        hubbed = cut(with_hubs(named.join(top, "value"), F.col("c") != F.col("top")))
-        more = star_links(star_pairs(hubbed, near), sets, near) if star < STARS - 1 else rest_links(rest_tasks(hubbed), sets, near)
-        found = cut(found.unionByName(more))
-    return components(found)
+    label = components(found)
+    # a hub has been compared with all of its list
+    left = open_lists(hubbed.where(F.col("id") != F.col("hub.id")).select("value", "id", "n", "w"), label)
+    rest = with_hubs(left, F.col("c") != F.col("top"))
+    if rest.isEmpty():
+        return label
+    more = cut(rest_links(rest_tasks(rest), sets, near))
+    return label if more.isEmpty() else components(found.unionByName(more))
 
 
 def components(edges: DataFrame) -> DataFrame:
