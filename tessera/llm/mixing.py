@@ -1,17 +1,21 @@
 """Mixing sources to target weights.
 
-A source's documents fall into blocks by a hash of their id. What the mix takes of a source is its target in
+A source's documents fall into blocks by a hash of their id and text. What the mix takes of a source is its target in
 words: some whole passes over the source, then a part of a further pass, made of blocks in a random order and, in
 the last of them, of documents in hash order. A splitting tree then deals the block draws to the output shards:
-at each node the blocks of every source are split in halves by an urn draw without replacement over all blocks
-below that node, so that the numbers by source follow the multivariate hypergeometric law and add up exactly. At
-the leaves each shard draws its quota of every source's permuted blocks; no two shards draw the same one. Rows
-are shuffled inside their shard only.
-
-Only tables of blocks (4096 a source at most) meet in one task; documents never do, apart from those of one block.
-
-Defined cases: null or blank text has size 0; null sources form one source, the last; repeated rows are rows of
-their own, and rows with equal ids stand or fall together; an empty table gives no rows; other columns pass.
+at each node the draws of all sources are split in halves by an urn draw without replacement, so that the numbers by
+source follow the multivariate hypergeometric law and add up exactly. The urns of all nodes are read from one random
+order of the draws: the draws of a node are a range of it, and its left child has the first half of that range. At the
+leaves each shard draws its quota of every source's permuted blocks; no two shards draw the same one. Rows are
+shuffled inside their shard only.
+
+A source has a block for 1024 documents (for 64 in small sources). Orders of blocks and draws are cut by their hash into
+ranges of about RANGE rows, so that no task holds the blocks of a whole source; only the table of sources (a row of
+about 100 bytes each, sorted externally) passes through one task, for the weights go by its order.
+
+Defined cases: null or blank text has size 0; null sources form one source, the last; rows with equal ids and equal
+texts stand or fall together, other rows of one id (or without one) do not; an empty table gives no rows; other
+columns pass, but for one that has the name of the shard column, which it replaces.
 """
 
 from __future__ import annotations
@@ -21,13 +25,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut, word_count
+from tessera.llm.shared import cut, whole_text, word_count
 
-MAX_BLOCKS = 4096
-MIN_BLOCKS = 16
 DOCS_PER_BLOCK = 1024
-#: A table of blocks up to this many rows (of about 200 bytes) is broadcast; a larger one is shuffled.
-BROADCAST_BLOCKS = 50_000
+#: Small sources have up to MIN_BLOCKS blocks, of SMALL documents or more.
+MIN_BLOCKS, SMALL = 16, 64
+#: Rows of one range of an order, about.
+RANGE = 4096
+#: A table of blocks or sources up to this many rows (of about 200 bytes) is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 50_000
 
 SOURCE = ["src_null", "src"]
 
@@ -48,17 +54,46 @@ def unit(mix: Mix, *parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(mix.seed), *(p.cast("string") for p in parts)))
 
 
-def with_blocks(docs: DataFrame, mix: Mix, blocks: int, key: str, source: str) -> DataFrame:
-    """Adds the source as two columns without nulls, the document's place in its block and its block."""
-    named = docs.withColumns(
+def named(docs: DataFrame, mix: Mix, key: str, text: str, source: str) -> DataFrame:
+    """Adds the source as two columns without nulls, and the document's place in the order of its source."""
+    return docs.withColumns(
         {
             "src_null": F.col(source).isNull(),
             "src": F.coalesce(F.col(source).cast("string"), F.lit("")),
-            "place": unit(mix, F.coalesce(F.col(key).cast("string"), F.lit("null"))),
+            "place": unit(mix, F.coalesce(F.col(key).cast("string"), F.lit("null")), F.md5(whole_text(F.col(text)))),
         }
     )
+
+
+def small_broadcast(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def source_blocks(rows: DataFrame) -> DataFrame:
+    """(src_null, src, blocks): the number of blocks of every source."""
+    n = F.count("*")
+    blocks = F.greatest(F.least(F.lit(MIN_BLOCKS), F.ceil(n / SMALL)), F.floor(n / DOCS_PER_BLOCK)).cast("int")
+    return rows.groupBy(*SOURCE).agg(blocks.alias("blocks"))
+
+
+def with_block(rows: DataFrame, sources: DataFrame) -> DataFrame:
     number = F.conv(F.substring("place", 1, 8), 16, 10).cast("long")
-    return named.withColumn("block", (number % blocks).cast("int"))
+    return rows.join(sources, SOURCE).withColumn("block", (number % F.col("blocks")).cast("int")).drop("blocks")
+
+
+def running(df: DataFrame, keys: list[str], order: str, ties: list[str], value: Column, per_range: int = RANGE) -> DataFrame:
+    """``df`` with ``after``, the sum of a value over the rows of a key up to this one in a hexadecimal random order.
+
+    The order is cut into ranges; sums of whole ranges are added up first, then the rows inside each.
+    """
+    ranges = 1 << max(0, (df.count() // per_range).bit_length())
+    inside = Window.partitionBy(*keys, "range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    held = df.withColumns({"value": value, "range": F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * ranges / (1 << 32))})
+    if ranges == 1:
+        return held.withColumn("after", F.sum("value").over(inside)).drop("range", "value")
+    sums = held.groupBy(*keys, "range").agg(F.sum("value").alias("whole"))
+    sums = sums.withColumn("below", F.sum("whole").over(Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("whole"))
+    return held.join(sums.drop("whole"), [*keys, "range"]).withColumn("after", F.col("below") + F.sum("value").over(inside)).drop("range", "below", "value")
 
 
 def targets(blocks: DataFrame, mix: Mix) -> DataFrame:
@@ -91,16 +126,15 @@ def block_draws(sized: DataFrame, mix: Mix) -> DataFrame:
     """One row for each block: passes over it, and how far the partial pass goes.
 
     passes: whole passes; in_part: whether the partial pass reads the block; upto: null, or the last place that it
-    reads in it. ``sized`` has the columns of with_blocks and size.
+    reads in it. ``sized`` has the columns of with_block and size.
     """
     blocks = cut(sized.groupBy(*SOURCE, "block").agg(F.sum("size").alias("words")))
     t = targets(blocks, mix)
     joined = blocks.join(t, SOURCE)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     joined = joined.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    order = Window.partitionBy(*SOURCE).orderBy(unit(mix, F.lit("block"), *map(F.col, SOURCE), F.col("block")), "block")
-    after = F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    joined = joined.withColumn("before", after - F.col("words"))
+    joined = cut(joined.withColumn("order", unit(mix, F.lit("block"), *map(F.col, SOURCE), F.col("block"))))
+    joined = cut(running(joined, SOURCE, "order", ["block"], F.col("words")).withColumn("before", F.col("after") - F.col("words")))
     edge = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))
     joined = joined.withColumns({"in_part": F.col("before") < F.col("rest"), "edge": edge})
     # in the block where the partial pass ends, documents count while half of them fits
@@ -114,35 +148,38 @@ def block_draws(sized: DataFrame, mix: Mix) -> DataFrame:
     return joined.join(upto, [*SOURCE, "block"], "left").select(*keep, "upto")
 
 
-def split_quotas(instances: DataFrame, mix: Mix) -> DataFrame:
+def leaf(rank: Column, total: Column, shards: int) -> Column:
+    """Leaf of the splitting tree to which the draw at a rank (from 0) of the random order of all draws falls."""
+
+    def below(first: Column, size: Column, node: int, leaves: int) -> Column:
+        if leaves == 1:
+            return F.lit(node)
+        left = (leaves + 1) // 2
+        half = F.round(size * left / leaves).cast("long")
+        return F.when(rank < first + half, below(first, half, node, left)).otherwise(below(first + half, size - half, node + left, leaves - left))
+
+    return below(F.lit(0).cast("long"), total, 0, shards)
+
+
+def split_quotas(draws: DataFrame, mix: Mix) -> DataFrame:
     """(src_null, src, shard, quota): block quotas of every shard, from the splitting tree over the shards."""
-    q = instances.groupBy(*SOURCE).agg(F.count("*").alias("quota")).withColumns({"node": F.lit(0), "leaves": F.lit(mix.shards)})
-    for level in range(max(0, mix.shards - 1).bit_length()):
-        units = q.withColumn("unit", F.explode(F.sequence(F.lit(1), F.col("quota").cast("int"))))
-        left_leaves = F.floor((F.col("leaves") + 1) / 2).cast("int")
-        urn = Window.partitionBy("node")
-        drawn = F.row_number().over(urn.orderBy(unit(mix, F.lit(level), F.col("node"), *map(F.col, SOURCE), F.col("unit")), *SOURCE, "unit"))
-        goes_left = drawn <= F.round(F.count("*").over(urn) * left_leaves / F.col("leaves"))
-        side = units.withColumns({"left": goes_left, "left_leaves": left_leaves})
-        q = cut(
-            side.groupBy(
-                *SOURCE,
-                F.when(F.col("left"), F.col("node")).otherwise(F.col("node") + F.col("left_leaves")).alias("node"),
-                F.when(F.col("left"), F.col("left_leaves")).otherwise(F.col("leaves") - F.col("left_leaves")).alias("leaves"),
-            ).agg(F.count("*").alias("quota"))
-        )
-    return q.select(*SOURCE, F.col("node").alias("shard"), "quota")
+    urn = cut(draws.select(*SOURCE, F.lit(0).alias("root"), unit(mix, F.lit("urn"), *map(F.col, SOURCE), F.col("block"), F.col("pass_no")).alias("order"), "block", "pass_no"))
+    ranked = running(urn, ["root"], "order", [*SOURCE, "block", "pass_no"], F.lit(1))
+    shard = leaf(F.col("after") - 1, F.lit(urn.count()).cast("long"), mix.shards)
+    return ranked.groupBy(*SOURCE, shard.alias("shard")).agg(F.count("*").alias("quota"))
 
 
 def deal(draws: DataFrame, mix: Mix) -> DataFrame:
     """The draws with ``full`` (shards of the whole passes) and ``part`` (shard of the partial one, or null)."""
-    passes = F.when(F.col("passes") > 0, F.sequence(F.lit(1), F.col("passes"))).otherwise(F.array().cast("array<int>"))
-    each = draws.select(*SOURCE, "block", F.explode(F.concat(passes, F.when(F.col("in_part"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))).alias("pass_no"))
-    per_source = Window.partitionBy(*SOURCE)
-    ranked = each.withColumn("rank", F.row_number().over(per_source.orderBy(unit(mix, F.lit("draw"), *map(F.col, SOURCE), F.col("block"), F.col("pass_no")), "block", "pass_no")))
-    upper = F.sum("quota").over(per_source.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
-    quotas = split_quotas(each, mix).withColumn("upper", upper)
-    held = ranked.join(quotas, SOURCE).where((F.col("rank") <= F.col("upper")) & (F.col("rank") > F.col("upper") - F.col("quota")))
+    none = F.array().cast("array<int>")
+    passes = F.concat(F.when(F.col("passes") > 0, F.sequence(F.lit(1), F.col("passes"))).otherwise(none), F.when(F.col("in_part"), F.array(F.lit(0))).otherwise(none))
+    each = draws.select(*SOURCE, "block", F.explode(passes).alias("pass_no"))
+    each = cut(each.withColumn("order", unit(mix, F.lit("draw"), *map(F.col, SOURCE), F.col("block"), F.col("pass_no"))))
+    ranked = running(each, SOURCE, "order", ["block", "pass_no"], F.lit(1))
+    # each shard takes the next of its source's permuted draws, as many as its quota says
+    quotas = split_quotas(each, mix).groupBy(*SOURCE).agg(F.sort_array(F.collect_list(F.struct("shard", "quota"))).alias("quotas"))
+    upper = F.aggregate("quotas", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("int").alias("shard")), lambda a, q: F.when(a["shard"].isNotNull(), a).otherwise(F.struct((a["sum"] + q["quota"]).alias("sum"), F.when(F.col("after") <= a["sum"] + q["quota"], q["shard"]).alias("shard"))), lambda a: a["shard"])
+    held = ranked.join(quotas, SOURCE).withColumn("shard", upper)
     g = held.groupBy(*SOURCE, "block").agg(
         F.sort_array(F.collect_list(F.when(F.col("pass_no") > 0, F.col("shard")))).alias("full"),
         F.max(F.when(F.col("pass_no") == 0, F.col("shard"))).alias("part"),
@@ -150,12 +187,12 @@ def deal(draws: DataFrame, mix: Mix) -> DataFrame:
     return draws.join(g, [*SOURCE, "block"], "left")
 
 
-def draw(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, int]:
-    """The table of dealt blocks, and the number of blocks of a source."""
-    small = cut(docs.select(F.col(key).alias("id"), F.col(source).alias("from"), word_count(F.col(text)).alias("size")))
-    blocks = max(MIN_BLOCKS, min(MAX_BLOCKS, small.count() // DOCS_PER_BLOCK))
-    sized = with_blocks(small, mix, blocks, "id", "from")
-    return cut(deal(block_draws(sized, mix), mix)), blocks
+def draw(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
+    """The tables of dealt blocks and of the numbers of blocks of the sources."""
+    small = docs.select(F.col(key).alias("id"), F.col(text).alias("body"), F.col(source).alias("from"))
+    small = cut(named(small, mix, "id", "body", "from").withColumn("size", word_count(F.col("body"))).select(*SOURCE, "place", "size"))
+    sources = cut(source_blocks(small))
+    return cut(deal(block_draws(cut(with_block(small, small_broadcast(sources))), mix), mix)), sources
 
 
 def taken_shards() -> Column:
@@ -166,22 +203,21 @@ def taken_shards() -> Column:
 
 
 def located(docs: DataFrame, mix: Mix, key: str, text: str, source: str) -> DataFrame:
-    """Rows (id, size, doc) with their block's draws; ``doc`` holds all columns of the row."""
-    table, blocks = draw(docs, mix, key, text, source)
-    rows = docs.select(F.col(key).alias("id"), F.col(source).alias("from"), word_count(F.col(text)).alias("size"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
-    rows = with_blocks(rows, mix, blocks, "id", "from")
-    if table.count() <= BROADCAST_BLOCKS:
-        table = F.broadcast(table)
-    return rows.join(table, [*SOURCE, "block"]).withColumn("shards", taken_shards())
-
-
-def mixed(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix: the rows of ``docs``, as often as they are taken, with their output ``shard``, shuffled inside it."""
-    rows = located(docs, mix, key, text, source).select("id", "doc", F.posexplode("shards").alias("copy", "shard"))
-    order = unit(mix, F.lit("row"), F.col("shard"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("copy"))
+    """Rows (id, size, place, doc) with their block's draws; ``doc`` holds all columns of the row."""
+    table, sources = draw(docs, mix, key, text, source)
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("body"), F.col(source).alias("from"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    rows = named(rows, mix, "id", "body", "from").withColumn("size", word_count(F.col("body"))).drop("body", "from")
+    return with_block(rows, small_broadcast(sources)).join(small_broadcast(table), [*SOURCE, "block"]).withColumn("shards", taken_shards())
+
+
+def mixed(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text", source: str = "source", shard: str | None = "mix_shard") -> DataFrame:
+    """The mix: the rows of ``docs``, as often as they are taken, shuffled inside their output shard, whose number is the
+    last column (``shard`` None: it is left out)."""
+    rows = located(docs, mix, key, text, source).select("place", "doc", F.posexplode("shards").alias("copy", "shard"))
+    order = unit(mix, F.lit("row"), F.col("shard"), F.col("place"), F.col("copy"))
     # a shard's rows spread over several tasks by a piece of that order, so that no shard is one task
-    dealt = rows.withColumn("order", order).repartition("shard", F.substring("order", 1, 2)).sortWithinPartitions("shard", "order")
-    return dealt.select("doc.*", F.col("shard").alias("mix_shard"))
+    dealt = rows.withColumn("order", order).repartition("shard", F.substring("order", 1, 4)).sortWithinPartitions("shard", "order")
+    return dealt.select(*(F.col("doc")[c].alias(c) for c in docs.columns if c != shard), *([F.col("shard").alias(shard)] if shard else []))
 
 
 def plan(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

@@ -78,8 +78,8 @@ def op8_warc_revisits(spark, sf):
 
 OP9 = r"""
 WITH sized AS (SELECT doc_id, source, source IS NULL AS src_null, coalesce(source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-        md5('mix|' || coalesce(doc_id::VARCHAR, 'null')) AS place, (SELECT greatest(16, least(4096, count(*) // 1024)) FROM documents) AS nb FROM documents),
-blocked AS (SELECT *, ('0x' || substr(place, 1, 8))::BIGINT % nb AS block FROM sized),
+        md5('mix|' || coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, ''))) AS place FROM documents),
+blocked AS (SELECT *, ('0x' || substr(place, 1, 8))::BIGINT % greatest(least(16, ceil(count(*) OVER (PARTITION BY src_null, src) / 64)), count(*) OVER (PARTITION BY src_null, src) // 1024)::BIGINT AS block FROM sized),
 sources AS (SELECT src_null, src, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY src_null, src) AS k FROM blocked GROUP BY src_null, src),
 weighed AS (SELECT *, [3.0, 1.0, 2.0][(k - 1) % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS most, sum(source_size) OVER () * 1.5::DOUBLE AS wanted FROM sources),
 levels AS (SELECT *, coalesce(sum(most) OVER (ORDER BY most / weight, src_null, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,

@@ -368,6 +368,42 @@ def test_mix_meets_its_targets(spark):
     assert len(out) == mixing.Mix().shards
 
 
+@pytest.mark.parametrize("per_range", [7, 100_000])
+def test_splitting_tree(spark, monkeypatch, per_range):
+    """Quotas add up exactly, shards are even, sources near their share, and no two draws are the same."""
+    running = mixing.running
+    monkeypatch.setattr(mixing, "running", lambda *a: running(*a, per_range=per_range))
+    mix = mixing.Mix(shards=6)
+    sizes = {"a": 300, "b": 120, "c": 30}
+    rows = [(False, s, b, 1 + (s == "b"), True) for s, n in sizes.items() for b in range(n)]
+    draws = spark.createDataFrame(rows, "src_null boolean, src string, block int, passes int, in_part boolean")
+    dealt = mixing.deal(draws, mix).collect()
+    total = {s: n * (3 if s == "b" else 2) for s, n in sizes.items()}
+    # every draw went to one shard
+    assert all(len(r["full"]) == r["passes"] and r["part"] is not None for r in dealt)
+    held = Counter((r["src"], shard) for r in dealt for shard in [*r["full"], r["part"]])
+    each = draws.select("src_null", "src", "block", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("pass_no"))
+    quotas = {(r["src"], r["shard"]): r["quota"] for r in mixing.split_quotas(each, mix).collect()}
+    assert quotas == held
+    n = sum(total.values())
+    for shard in range(6):
+        assert abs(sum(q for (_, k), q in quotas.items() if k == shard) - n / 6) <= 2
+        for s, t in total.items():
+            # six standard deviations of the hypergeometric law
+            p, m = t / n, n / 6
+            assert abs(quotas.get((s, shard), 0) - m * p) <= 6 * (m * p * (1 - p) * (n - m) / (n - 1)) ** 0.5 + 1
+
+
+def test_mix_of_rows_without_ids(spark):
+    """Rows without an id are drawn one by one; a column with the shard's name is replaced, or kept."""
+    rows = [(None, f"{i} " + "w " * 9, "ab"[i % 2], 5) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_shard int")
+    got = mixing.plan(docs).groupBy("target").agg(F.sum("taken")).collect()
+    assert len(got) == 2 and all(abs(t - taken) <= 20 for t, taken in got)
+    assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs).where("mix_shard = 5").count() < 600
+    assert mixing.mixed(docs, shard=None).where("mix_shard <> 5").count() == 0
+
+
 @pytest.mark.parametrize("which", ["table", "edge_docs", "no_docs"])
 def test_next_and_edited(which, request):
     docs = request.getfixturevalue(which)
