@@ -7,10 +7,12 @@ depth. Branches are ranked by the sum of their scores and each chosen path becom
 Template: every turn is ``<|turn|>`` role, line feed, text, ``<|end|>``, line feed. Inside roles and texts a backslash
 is doubled and every control string gets a backslash after its first character, so that no control string is left
 and the original comes back by dropping single backslashes; a line feed in a role is written after a backslash.
-The loss mask covers the texts of assistant turns, as [start, end) code points of the output.
+The loss mask covers the texts of assistant turns, as [start, end) code points of the output. Work grows with the length
+of a conversation; its path is one row, so it has to fit in a task's memory.
 
 Defined cases: null roles and texts are empty; a null conversation is one conversation; a parent that is not there
-makes a root; of several rows with one node id the smallest (role, text) stays; tied branches go to the smallest
+makes a root; of several rows with one node id the smallest (role, text)
+stays (rows of one turn in a linear conversation are turns of their own, by role and text); tied branches go to the smallest
 leaf; other columns do not matter; an empty table gives no rows. A cycle has no leaf and so no path; a leaf cannot
 lead into one, since every node has one parent and the walk stops at a node seen before.
 """
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut
+from tessera.llm.shared import cut, let
 
 BEGIN, END = "<|turn|>", "<|end|>"
 #: Strings that chat templates treat as control tokens.
@@ -67,7 +69,7 @@ def leaf_paths(nodes: DataFrame) -> DataFrame:
         walk = cut(walk.unionByName(more))
         up = cut(up.join(up.select("c", F.col("node").alias("to"), F.col("to").alias("far")), ["c", "to"]).select("c", "node", F.col("far").alias("to")).where(F.col("node") != F.col("to")))
         step *= 2
-    return walk
+    raise RuntimeError("a path is longer than 2**32 turns")
 
 
 def chosen_paths(tree: DataFrame, branches: int = 1) -> DataFrame:
@@ -87,30 +89,37 @@ def chosen_paths(tree: DataFrame, branches: int = 1) -> DataFrame:
 
 
 def formatted(paths: DataFrame) -> DataFrame:
-    """(conv, leaf, formatted, loss): one row for each path; loss is an array of [start, end) structs."""
+    """(conv, leaf, formatted, loss): one row for each path.
+
+    loss is an array of (start, end, turn, offset): a range of code points of the output, the number of its turn and
+    where the range starts in that turn. Starts are sums over the turns before, taken before turns are gathered.
+    """
     head = F.concat(F.lit(BEGIN), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
-    body = escaped(F.col("text"))
-    turn = F.struct((-F.col("dist")).alias("at"), head.alias("head"), body.alias("body"), (F.col("role") == "assistant").alias("learn"))
-    g = paths.groupBy("conv", "leaf").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    length = lambda t: F.length(t["head"]) + F.length(t["body"]) + len(END) + 1
-    empty = F.array().cast("array<long>")
-    starts = F.aggregate("turns", F.struct(F.lit(0).cast("long").alias("at"), empty.alias("all")), lambda s, t: F.struct((s["at"] + length(t)).alias("at"), F.array_append(s["all"], s["at"]).alias("all")), lambda s: s["all"])
-    g = g.withColumn("starts", starts)
-    spans = F.transform(
-        F.filter(F.arrays_zip("turns", "starts"), lambda z: z["turns"]["learn"]),
-        lambda z: F.struct((z["starts"] + F.length(z["turns"]["head"])).alias("start"), (z["starts"] + F.length(z["turns"]["head"]) + F.length(z["turns"]["body"])).alias("end")),
-    )
-    text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n"))), "")
-    return g.select("conv", "leaf", text.alias("formatted"), spans.alias("loss"))
+    turns = paths.select("conv", "leaf", "dist", head.alias("head"), escaped(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("learn"))
+    size = F.length("head") + F.length("body") + len(END) + 1
+    before = Window.partitionBy("conv", "leaf").orderBy(F.desc("dist"))
+    up_to = before.rowsBetween(Window.unboundedPreceding, 0)
+    turns = turns.withColumns({"start": F.sum(size).over(up_to) - size + F.length("head"), "turn": F.row_number().over(before) - 1})
+    span = F.struct("start", (F.col("start") + F.length("body")).alias("end"), "turn", F.length("head").alias("offset"))
+    piece = F.struct("turn", F.concat("head", "body", F.lit(END + "\n")).alias("text"), F.when(F.col("learn"), span).alias("span"))
+    g = turns.groupBy("conv", "leaf").agg(F.sort_array(F.collect_list(piece)).alias("turns"))
+    loss = F.transform(F.filter("turns", lambda t: t["span"].isNotNull()), lambda t: t["span"])
+    return g.select("conv", "leaf", F.array_join(F.transform("turns", lambda t: t["text"]), "").alias("formatted"), loss.alias("loss"))
+
+
+def parts(text: Column) -> Column:
+    """The turns of a formatted conversation without their ends. A turn holds no end mark but its own."""
+    return F.split(text, r"<\|end\|>\n")
 
 
 def read_back(text: Column) -> Column:
     """Turns (role, text) of a formatted conversation."""
-    parts = F.filter(F.split(text, r"<\|end\|>\n"), lambda p: p != "")
     pattern = r"(?s)^<\|turn\|>([^\\\n]*+(?:\\.[^\\\n]*+)*+)\n(.*)$"
-    return F.transform(parts, lambda p: F.struct(unescaped(F.regexp_extract(p, pattern, 1)).alias("role"), unescaped(F.regexp_extract(p, pattern, 2)).alias("text")))
+    turns = F.filter(parts(text), lambda p: p != "")
+    return F.transform(turns, lambda p: F.struct(unescaped(F.regexp_extract(p, pattern, 1)).alias("role"), unescaped(F.regexp_extract(p, pattern, 2)).alias("text")))
 
 
 def masked_text(text: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(loss, lambda s: unescaped(F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    """All text under the loss mask, unescaped; every turn is cut once."""
+    cut_out = lambda turns: F.transform(loss, lambda s: unescaped(F.substring(F.get(turns, s["turn"]), s["offset"] + 1, (s["end"] - s["start"]).cast("int"))))
+    return F.array_join(let(parts(text), cut_out), "")

@@ -10,7 +10,7 @@ sorted tuples pass through shuffles that spill to disk.
 1. Naming. Each document sends (sample name, context name, document, number of the sample); the context is all
    text of the windows that hold the sample. Sorted by name and context, the first row of each context stands for
    it. Samples that are not first in their context are repeats in all their windows.
-2. Recursion. Firsts that share their name with other contexts are sorted once more, with their bytes: the sort
+2. Induction, of one level. Firsts that share their name with other contexts are sorted with their bytes: the sort
    orders suffixes at the samples, neighbours give common prefix values, and from there the order of the suffixes
    one byte further left is induced step by step, with its common prefix values taken over the ranges in between.
    Runs with common prefixes of 100 bytes are equal windows; all but the first are repeats.
@@ -18,13 +18,13 @@ sorted tuples pass through shuffles that spill to disk.
    the first of its context, so nothing has to be sent for the many copies of a text.
 
 Names that very many documents share (found in a hash sample of documents; this decides the route only, never the
-result) and names with more than MAX_GROUP contexts are not sorted by name, but window by window: rows of windows
-are pre-aggregated where they are made and only the first place of each window is kept. So no key has more rows in
+result) and names with more than MAX_GROUP contexts are not sorted by name, but window by window: rows of windows,
+known by 128-bit hashes, are pre-aggregated where they are made and only the first place of each window is kept. So no key has more rows in
 a shuffle than there are tasks that send it.
 
 Names are 64-bit hashes and contexts and windows pairs of them; in step 2 bytes are compared.
 
-Defined cases: null text is empty; a null id comes before all others; rows with equal ids and texts are one document
+Defined cases: null text is empty; a null id counts as the smallest one; rows with equal ids and texts are one document
 (each gets the same result); rows with one id and different texts are ordered by a hash of the text; other columns
 pass in ``without_repeats``; an empty table gives no rows.
 """
@@ -51,6 +51,8 @@ REACH = LENGTH - GRAM + 1
 MAX_GROUP = 20_000
 #: One document in SAMPLE is read to find names that a share of 1 / COMMON of documents have; HOT names at most.
 SAMPLE, COMMON, HOT = 16, 256, 20_000
+#: ... or that this many of the sampled documents have, however large the table is.
+HOT_DOCS = 4096
 FIRST_ID = -(1 << 63)
 C1, C2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -194,7 +196,7 @@ def hot_names(base: DataFrame) -> np.ndarray:
 
     n = some.count()
     counts = some.select("text").mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") >= max(16, n // COMMON)).orderBy(F.desc("n")).limit(HOT).collect()
+    rows = counts.where(F.col("n") >= max(16, min(n // COMMON, HOT_DOCS))).orderBy(F.desc("n")).limit(HOT).collect()
     return np.array([r["name"] for r in rows], np.int64).view(np.uint64)
 
 
@@ -396,7 +398,7 @@ def base_rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
     sub tells rows with one id and different texts apart; it is 0 where ids are unique. doc holds the columns other
     than the text, none tells whether that is null.
     """
-    ids = docs.select(F.col(key).cast("long").alias("id"))
+    ids = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(FIRST_ID)).alias("id"))
     unique = ids.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
     body = whole_text(F.col(text))
     named = [F.coalesce(F.col(key).cast("long"), F.lit(FIRST_ID)).alias("id"), (F.lit(0).cast("long") if unique else F.xxhash64(body)).alias("sub")]
@@ -454,8 +456,8 @@ def removal(docs: DataFrame, key: str = "doc_id", text: str = "text", max_group:
             whole = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), whole(size), whole(gone), whole(spans), pa.array(digests, pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = rows.select("id", "text", *LISTS).mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.withColumn("id", F.when(F.col("id") != FIRST_ID, F.col("id")))
+    own = F.col("doc")[key].cast("long").alias("id")
+    return rows.select(own, "text", *LISTS).mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", max_group: int = MAX_GROUP) -> DataFrame:

@@ -4,7 +4,10 @@ Records are described by headers (payload digest, length, id); only headers are
 with one digest the smallest id keeps its payload as ``response``; the others are joined to it and become
 ``revisit`` records with an empty block and a fresh header that refers to the original. Archives are written by
 Spark's text writer, whose line separator is the blank lines that end a WARC record; each file holds about
-``file_bytes`` of payload. Reading back parses every file by Content-Length, so payloads may hold anything.
+``file_bytes`` of payload, less while there are fewer files than the session has shuffle partitions. That writer makes
+one gzip member of a file, so single records cannot be sought in it; ``compression="none"`` gives archives in which they
+can. Reading back parses every file by Content-Length, so payloads may hold anything. Record ids are made of the
+page id, the digest and the number among repeated rows, so they differ for all records.
 
 Defined cases: null html is an empty payload, always a response; payloads under ``min_bytes`` are responses; of
 repeated rows with one id and one payload the first is the response and the others are revisits of that id; a null
@@ -25,7 +28,9 @@ from tessera.llm.shared import cut, new_folder, whole_text
 
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-FILE_BYTES = 16_000_000
+FILE_BYTES = 128_000_000
+#: A task of a small archive writes this much or more.
+TASK_BYTES = 4_000_000
 MIN_REVISIT_BYTES = 100
 RECORD_END = "\r\n\r\n"
 BACK_SCHEMA = "page_id string, record_type string, digest string, declared_bytes long, refers_to string, uri string, payload binary"
@@ -64,17 +69,17 @@ def safe(uri: Column) -> Column:
 
 def record(date: str) -> Column:
     """One WARC record (without the blank lines that end it) from the columns of ``written``."""
-    rid = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
+    rid = lambda c, n: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(":"), F.substring("digest", 1, 16), F.lit(":"), n.cast("string"), F.lit(">"))
     block = F.when(F.col("revisit"), F.lit("")).otherwise(F.col("payload"))
     return F.concat(
         F.lit(VERSION + "\r\n"),
         field("WARC-Type", F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response"))),
-        field("WARC-Record-ID", rid(F.col("id"))),
+        field("WARC-Record-ID", rid(F.col("id"), F.col("copy"))),
         optional("WARC-Target-URI", safe(F.col("uri"))),
         field("WARC-Date", F.lit(date)),
         field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         field("WARC-Payload-Length", F.col("bytes").cast("string")),
-        F.when(F.col("revisit"), F.concat(field("WARC-Profile", F.lit(PROFILE)), field("WARC-Refers-To", rid(F.col("kept"))))).otherwise(F.lit("")),
+        F.when(F.col("revisit"), F.concat(field("WARC-Profile", F.lit(PROFILE)), field("WARC-Refers-To", rid(F.col("kept"), F.lit(1))))).otherwise(F.lit("")),
         field("Content-Type", F.lit("text/html; charset=utf-8")),
         field("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
@@ -82,11 +87,12 @@ def record(date: str) -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = MIN_REVISIT_BYTES, file_bytes: int = FILE_BYTES, date: str = "2024-01-01T00:00:00Z") -> str:
-    """Writes the pages as gzipped WARC files under ``path`` and returns it."""
+def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = MIN_REVISIT_BYTES, file_bytes: int = FILE_BYTES, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip") -> str:
+    """Writes the pages as WARC files under ``path`` and returns it."""
     heads = cut(headers(pages, key, url, payload))
     total = heads.agg(F.coalesce(F.sum(F.col("bytes") + 400), F.lit(0))).first()[0]
-    files = max(1, -(-total // file_bytes))
+    few = min(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES)
+    files = max(1, -(-total // file_bytes), few)
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     keep = resolved(heads.select("id", "digest", "bytes"), min_bytes).where("shared")
     keep = keep.groupBy(known("id").alias("k"), "digest").agg(F.min("kept").alias("kept"), F.lit(True).alias("shared"))
@@ -95,12 +101,13 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     # one shuffle of the payloads serves the join, the window and the files
     rows = rows.repartition(int(files), "k", "digest").join(keep.repartition(int(files), "k", "digest"), ["k", "digest"], "left")
     # of repeated rows with the response's own id, one is the response
-    again = F.row_number().over(Window.partitionBy("k", "digest").orderBy("uri")) > 1
-    spread = rows.withColumn("revisit", F.coalesce("shared", F.lit(False)) & (~F.col("id").eqNullSafe(F.col("kept")) | again))
-    spread.select(record(date).alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
+    copy = F.row_number().over(Window.partitionBy("k", "digest").orderBy("uri"))
+    spread = rows.withColumn("copy", copy).withColumn("revisit", F.coalesce("shared", F.lit(False)) & (~F.col("id").eqNullSafe(F.col("kept")) | (F.col("copy") > 1)))
+    spread.select(record(date).alias("value")).write.option("lineSep", RECORD_END).option("compression", compression).text(path)
     return path
 
 
+PAGE = re.compile(r"<urn:page:(.*):[0-9a-f]{16}:\d+>$")
 HEAD = re.compile(rb"([A-Za-z-]+): ?([^\r\n]*)\r\n")
 
 
@@ -111,13 +118,13 @@ def parse(data: bytes) -> Iterator[tuple]:
         end = data.index(b"\r\n\r\n", at) + 4
         h = {k.decode(): v.decode() for k, v in HEAD.findall(data, at, end)}
         n = int(h["Content-Length"])
-        number = lambda name: re.sub(r"^<urn:page:|>$", "", h[name]) if name in h else None
+        number = lambda name: PAGE.match(h[name])[1] if name in h else None
         yield number("WARC-Record-ID"), h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["WARC-Payload-Length"]), number("WARC-Refers-To"), h.get("WARC-Target-URI"), data[end : end + n]
         at = end + n + len(RECORD_END)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the archives under ``path``, by Content-Length."""
+    """Records of the archives under ``path``, gzipped or not, by Content-Length."""
     import gzip
 
     names = [f.split()[0] for f in BACK_SCHEMA.split(", ")]
@@ -128,7 +135,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 raw = content.as_buffer()
                 rows: list[tuple] = []
                 held = 0
-                for r in parse(gzip.decompress(raw) if raw.size else b""):
+                for r in parse(gzip.decompress(raw) if raw.size and raw[:2].to_pybytes() == b"\x1f\x8b" else raw.to_pybytes()):
                     rows.append(r)
                     held += len(r[-1])
                     if held > 4_000_000:
@@ -141,7 +148,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(run, BACK_SCHEMA)
 
 

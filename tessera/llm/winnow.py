@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import whole_text
+from tessera.llm.shared import let, whole_text
 
 SOLID = r"[^\x20\x09-\x0D]"
 #: A whole word of up to 12 characters, or one character of a longer one.
@@ -44,11 +44,6 @@ HASH_MASK = ((1 << 63) - 1) ^ MAX_POSITION
 ROWS_PER_BUCKET = 20_000
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def rotated(x: Column, bits: int) -> Column:
     return F.shiftleft(x, bits).bitwiseOR(F.shiftrightunsigned(x, 64 - bits))
 

@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 import random
+import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -50,6 +52,29 @@ def test_branches_by_score(spark):
     assert paths.where("c = 't'").count() == 2 + 3 + 3
 
 
+def test_mask_matches_the_output(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", "é🙂 " * (i % 5) + "<s>" * (i % 3), "x", "y", "z") for i in range(40)]
+    (r,) = shown(chat.chosen_paths(chat.chain_parents(spark.createDataFrame(rows, CHAT))))
+    plain = lambda t: re.sub(r"(?s)\\(.)", r"\1", t)
+    assert "".join(plain(r["formatted"][s["start"] : s["end"]]) for s in r["loss"]) == r["learned"]
+    assert [s["turn"] for s in r["loss"]] == list(range(1, 40, 2))
+
+
+def test_formatting_is_linear_in_turns(spark):
+    """Twice the turns take about twice the time, and a very long text passes; repeated turns are turns of their own."""
+    took = {}
+    for n in (2500, 20_000):
+        paths = spark.range(n).select(F.lit(1).alias("conv"), F.lit(1).alias("leaf"), "id", (n - F.col("id")).alias("dist"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("five words in this turn").alias("text"))
+        began = time.time()
+        (r,) = chat.formatted(paths).select(F.length(chat.masked_text(F.col("formatted"), F.col("loss"))), F.size("loss")).collect()
+        took[n] = time.time() - began
+        assert tuple(r) == (n // 2 * 23, n // 2)
+    assert took[20_000] < 8 * took[2500] + 8, took
+    rows = [(1, 0, "user", "x" * 3_000_000, "", "", ""), (1, 1, "assistant", "a", "", "", ""), (1, 1, "assistant", "a", "", "", "")]
+    (r,) = shown(chat.chosen_paths(chat.chain_parents(spark.createDataFrame(rows, CHAT))))
+    assert len(r["turns"]) == 3 and r["learned"] == "aa" and len(r["turns"][0]["text"]) == 3_000_000
+
+
 def test_long_chain_takes_few_rounds(spark):
     rows = [(7, i, "user" if i % 2 else "assistant", f"t{i}", "x", "y", "z") for i in range(300)]
     (r,) = shown(chat.chosen_paths(chat.chain_parents(spark.createDataFrame(rows, CHAT))))
@@ -91,6 +116,11 @@ def test_files_hold_plain_records(spark, tmp_path):
     assert sum(r[1] == "response" for r in records) == 3
     assert all(r[6] == b"" for r in records if r[1] == "revisit")
     assert warc.read_archives(spark, path).count() == 40
+    plain = warc.write_archives(pages(spark, [(1, "u", BIG), (1, "u", BIG), (2, "u", BIG)]), str(tmp_path / "plain"), compression="none")
+    texts = "".join(f.read_text() for f in (tmp_path / "plain").glob("part-*"))
+    assert len(set(re.findall(r"WARC-Record-ID: (\S+)", texts))) == 3
+    assert set(re.findall(r"WARC-Refers-To: (\S+)", texts)) <= set(re.findall(r"WARC-Record-ID: (\S+)", texts))
+    assert warc.read_archives(spark, plain).count() == 3
 
 
 def test_no_pages(spark):

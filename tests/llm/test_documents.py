@@ -214,6 +214,10 @@ def test_repeated_bytes_by_window(spark, monkeypatch, route):
 
 def test_equal_ids_are_told_apart(spark):
     text = "".join(np.random.default_rng(6).choice(list("abcdefghij"), 300))
+    low = -(1 << 63)
+    docs = spark.createDataFrame([(low, text), (None, text + "a"), (5, text)], "doc_id long, text string")
+    assert sorted((r["id"] is not None, r["id"] or 0, r["n_removed"] > 0) for r in repeats.removal(docs).collect())[2] == (True, 5, True)
+    assert {r["id"] for r in repeats.removal(docs).collect()} == {low, None, 5}
     docs = spark.createDataFrame([(1, text), (1, text), (1, "z" + text), (2, text)], "doc_id long, text string")
     rows = sorted((r["id"], r["n_bytes"], r["n_removed"]) for r in repeats.removal(docs).collect())
     ones = [x for x in rows if x[0] == 1]
