@@ -1,7 +1,7 @@
 """A quality classifier with supervised subword embeddings.
 
-A document is the average of the vectors of its features: words and the GRAMS-byte strings of its text, hashed into
-buckets. A softmax over the average gives the label. Vectors and weights are learned by plain stochastic gradient
+A document is the average of the vectors of its features: words, pairs of neighbouring words and the strings of GRAMS
+characters (blanks among them, for layout and punctuation tell quality too), hashed into buckets. A softmax over the average gives the label. Vectors and weights are learned by plain stochastic gradient
 descent in numpy on the driver, over a bounded hash sample of labelled rows outside the held-out fold (``Settings.rows``
 documents, whole texts). Only the text is looked at.
 
@@ -10,7 +10,7 @@ number. Executors get that table (``Settings.buckets`` floats, a fixed size) and
 
 Defined cases: null is the empty text; a text without features scores the prior; a null id is never in the held-out
 fold and never used to learn; rows without a label (or a null one) are scored and not learned from; of several
-labels of one id the largest counts; repeated rows are scored one by one; without any label of either class the
+labels of one id the largest counts, of several texts the smallest is learned from; repeated rows are scored one by one; without any label of either class the
 score is the share of label 1 seen, or 0.5; other columns do not matter; an empty table gives no rows.
 """
 
@@ -38,7 +38,9 @@ class Settings:
     buckets: int = 1 << 16
     dim: int = 12
     epochs: int = 6
-    rate: float = 0.6
+    rate: float = 0.3
+    #: Steps of the vectors over those of the weights: a feature's part in an average is small.
+    boost: float = 60.0
     seed: int = 11
     threshold: float = 0.3
 
@@ -51,23 +53,20 @@ def held_out(key: Column) -> Column:
 def features(c: wb.Chunk, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Buckets of each kind of feature, in order of document, and where each document's begin."""
     mask = np.uint64(buckets - 1)
-    yield c.word_hashes() & mask, c.word_at
-    sizes = np.diff(c.offsets)
-    values = wb.BYTE_VALUES[c.data]
+    words = c.word_hashes()
+    yield words & mask, c.word_at
+    inside = np.flatnonzero(wb.runs_inside(c.word_at, 2, len(words)))
+    yield wb.runs(words, 2)[inside] & mask, np.searchsorted(inside, c.word_at)
+    # characters, blanks among them: where each begins, and its document
+    start = np.flatnonzero((c.data & 0xC0) != 0x80)
+    end = np.append(start[1:], len(c.data))
+    doc = np.searchsorted(c.offsets, start, "right")
     for size in GRAMS:
-        n = len(c.data) - size + 1
-        if n < 1:
-            continue
-        h = values[:n].copy()
-        for j in range(1, size):
-            h *= wb.BASE
-            h += values[j : n + j]
-        inside = np.ones(n, bool)
-        for j in range(1, size):  # strings that would cross the end of a document
-            at = c.offsets[1:-1] - j
-            inside[at[(at >= 0) & (at < n)]] = False
-        held = np.maximum(sizes - size + 1, 0)
-        yield wb.mixed(h[inside] + np.uint64(size)) & mask, np.concatenate([[0], np.cumsum(held)])
+        n = len(start) - size + 1
+        if n > 0:
+            held = np.flatnonzero(doc[:n] == doc[size - 1 :])
+            first = start[held]
+            yield wb.mixed(c.span_hashes(first, end[held + size - 1]) + np.uint64(size)) & mask, np.searchsorted(first, c.offsets)
 
 
 class Model:
@@ -126,8 +125,7 @@ def learned(texts: pa.Array, labels: np.ndarray, s: Settings) -> Model:
             back = weights.T @ p
             weights -= rate * np.outer(p, mean)
             bias -= rate * 0.1 * p
-            # a feature's step is not shrunk by the length of its text, which would leave long texts unlearned
-            vectors[ids] -= rate * np.minimum(1, share * 20)[:, None] * back
+            vectors[ids] -= rate * s.boost * share[:, None] * back
     return Model((vectors @ (weights[1] - weights[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
@@ -135,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), key: str =
     """Learns from at most ``s.rows`` labelled documents outside the held-out fold."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("label"))
     chosen = known.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(s.rows)
-    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select("text", "label", F.xxhash64("id").alias("h"))
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label", F.xxhash64("id").alias("h"))
     t = rows.toArrow().sort_by([("h", "ascending"), ("text", "ascending")])
     return learned(t.column("text").combine_chunks() if t.num_rows else pa.array([], pa.string()), t.column("label").to_numpy().astype(np.int64), s)
 

@@ -5,17 +5,20 @@ is scored are the lines of a paragraph and overlapping windows of its words, of
 one- and two-word features go into a sparse logistic regression with one class for each licence family and one for
 unknown text. It is trained on the driver from the templates
 below, cut and distorted with a fixed seed, against a bounded hash sample of corpus lines as the unknown class
-(``Settings.unknown`` documents). A threshold on the families' summed probability is set on held-out samples, so that at
-most ``Settings.false_share`` of unknown lines pass; what is below it is unknown. What passes is compared with every
-family: one clause of its templates must share ``Settings.cover`` of its word pairs with the line or window, and half of
-those that no other family's clauses have, so that a licence does not confirm its near relations.
+(``Settings.unknown`` documents). On a held-out quarter of the samples a temperature is chosen that makes probabilities
+most likely, and then the threshold on the families' summed probability that at most ``Settings.false_share`` of the
+unknown lines reach; what is below it is unknown. What passes is compared with every family, both ways: in one stretch
+of the line or window, at least half of whose word pairs are the clause's, ``Settings.cover`` of the pairs of one clause
+must occur, and half of those that no other family's clauses have, so that a licence does not confirm its near
+relations. Look-alikes (Affero, NonCommercial-ShareAlike, NoDerivatives) are families of their own. A line or window
+that says that something is not released, licensed or distributed confirms nothing.
 
 Executors get the weights (buckets x classes, a fixed size) and the clauses' word pairs, and scan whole texts in Arrow
 batches.
 
 Defined cases: null is the empty text, which has no paragraphs; a text without licences has empty lists and zeros;
 repeated rows are scanned one by one; other columns do not matter; an empty table gives no rows, and its unknown
-class is learned from nothing but distorted words.
+class is learned from nothing but distorted words; of several texts of one id the smallest may be learned from.
 """
 
 from __future__ import annotations
@@ -43,6 +46,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "mit": (
         "Released under the MIT License.",
         "This project is licensed under the MIT License.",
+        "The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
@@ -63,6 +67,19 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the GNU Lesser General Public License, version 3.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
     ),
+    "agpl": (
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ),
+    "isc": (
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "Licensed under the Eclipse Public License, version 2.0.",
+    ),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
@@ -79,6 +96,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
+    "cc-by-nc-sa": (
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ),
+    "cc-by-nd": (
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ),
     "public-domain": (
         "This is free and unencumbered software released into the public domain.",
         "To the extent possible under law, the author has dedicated all copyright and related rights to this work to the public domain worldwide under CC0 1.0.",
@@ -115,6 +140,10 @@ CLAUSES = {f: [pairs_of(c) for c in clauses] for f, clauses in TEMPLATES.items()
 #: Of each clause the word pairs that no other family has.
 OWN = {f: [c.difference(*(x for g in CLAUSES if g != f for x in CLAUSES[g])) for c in clauses] for f, clauses in CLAUSES.items()}
 
+#: Words which, after a "not", say that a licence does not hold; what clauses say themselves is no denial.
+DENIED = frozenset((no, w) for no in ("not", "never", "longer") for w in ("released", "licensed", "covered", "distributed", "available", "published", "offered", "under"))
+DENIED = DENIED.difference(*(c for clauses in CLAUSES.values() for c in clauses))
+
 #: Letters and digits keep their value in lower case; everything else separates words.
 FOLD = np.full(256, 32, np.uint8)
 for _b in (*range(48, 58), *range(97, 123), *range(128, 256)):
@@ -216,7 +245,7 @@ def learned(lines: list[str], s: Settings) -> Model:
     rng = np.random.default_rng(s.seed)
     apart = [c for clauses in CLAUSES.values() for c in clauses]
     lines = [x for x in lines if all(len(pairs_of(x) & c) < s.cover * len(c) for c in apart)]
-    filler = sorted({w for x in lines[:2000] for w in x.split()}) or ["lorem", "ipsum", "dolor", "sit", "amet"]
+    filler = sorted({w for x in lines for w in x.split()}) or ["lorem", "ipsum", "dolor", "sit", "amet"]
     cases = [(distorted(c, rng, filler), k) for k, f in enumerate(FAMILIES) for c in TEMPLATES[f] for _ in range(s.copies)]
     # words of the clauses in any order, and filler, are unknown too
     bag = [w for clauses in TEMPLATES.values() for c in clauses for w in c.split()]
@@ -243,16 +272,21 @@ def learned(lines: list[str], s: Settings) -> Model:
             np.subtract.at(weights, f, rate * scale * g)
             bias -= rate * 0.1 * g
         weights *= 1 - s.decay * len(train)
-    best = 1 - probabilities(p.logits(weights, bias, p.first, p.last)[test])[:, UNKNOWN]
-    unknown = np.sort(best[label[test] == UNKNOWN])
-    threshold = float(unknown[int((1 - s.false_share) * (len(unknown) - 1))]) if len(unknown) else 0.5
-    return Model(weights, bias, max(0.5, threshold))
+    held, truth = p.logits(weights, bias, p.first, p.last)[test], label[test]
+    scales = np.geomspace(0.25, 4, 41)
+    scale = float(scales[np.argmax([np.log(probabilities(held * x)[np.arange(len(truth)), truth] + 1e-12).sum() for x in scales])]) if len(truth) else 1.0
+    # calibrated logits: the temperature goes into the weights
+    weights, bias, held = weights * np.float32(scale), bias * np.float32(scale), held * scale
+    unknown = np.sort(1 - probabilities(held)[truth == UNKNOWN, UNKNOWN]) if len(truth) else np.zeros(0)
+    threshold = float(np.nextafter(unknown[int((1 - s.false_share) * (len(unknown) - 1))], 1)) if len(unknown) else 0.5
+    return Model(weights, bias, threshold)
 
 
 def fit(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> Model:
     """Learns the unknown class from the lines of paragraphs without a clause, of at most ``s.unknown`` documents of the corpus."""
     ids = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(s.unknown)
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "id")
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"))
     texts = sorted(r["text"] or "" for r in rows.select("text").collect())
     apart = [c for clauses in CLAUSES.values() for c in clauses]
     paragraphs = [x for t in texts for x in re.split(r"\n(?:[^\w\n]*\n)+", t)]
@@ -261,10 +295,32 @@ def fit(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: st
 
 
 def confirmed(text: str, family: str, cover: float) -> float:
-    """The largest share of a clause's word pairs that the text has, with half of those only this family has; 0 below ``cover``."""
-    own = pairs_of(text)
-    best = max((len(own & c) / len(c) for c, apart in zip(CLAUSES[family], OWN[family], strict=True) if 2 * len(own & apart) >= len(apart)), default=0.0)
-    return best if best >= cover else 0.0
+    """The largest share of a clause's word pairs in a stretch of the text that is made of them; 0 below ``cover``."""
+    words = WORD.findall(text.lower())
+    pairs = list(zip(words[:-1], words[1:], strict=True)) if len(words) > 1 else [(w, "") for w in words]
+    if not DENIED.isdisjoint(pairs):
+        return 0.0
+    own, best = frozenset(pairs), 0.0
+    for c, apart in zip(CLAUSES[family], OWN[family], strict=True):
+        if len(own & c) >= max(cover, best) * len(c) and 2 * len(own & apart) >= len(apart):
+            found = frozenset(stretch(pairs, c))
+            share = len(found) / len(c)
+            if share >= cover and 2 * len(found & apart) >= len(apart):
+                best = max(best, share)
+    return best
+
+
+def stretch(pairs: list[tuple[str, str]], clause: frozenset[tuple[str, str]]) -> set[tuple[str, str]]:
+    """The clause's pairs in the run of pairs where those of the clause outweigh the others most."""
+    best = score = start = 0
+    span = (0, 0)
+    for i, p in enumerate(pairs):
+        score += 1 if p in clause else -1
+        if score <= 0:
+            score, start = 0, i + 1
+        elif score > best:
+            best, span = score, (start, i + 1)
+    return {p for p in pairs[slice(*span)] if p in clause}
 
 
 FINDINGS = "n_paragraphs long, n_predicted long, n_confirmed long, families array<string>, best_family string, best_probability double, best_cover double"
