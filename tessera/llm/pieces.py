@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units and agreeing pairs that one worker remembers, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Longest unit that is remembered, in characters.
 SHORT = 64
 #: Characters of a text that are looked at together, up to the next blank.
@@ -163,55 +163,55 @@ class Encoder:
 
     def search(self, text: str) -> Iterator[list[int]]:
         """The ids of a string, in the stretches in which they are committed."""
-        merging, pairs, shift, unknown = self.merging, self.pairs.get, self.shift, self.unknown
-        width, limit = self.model.width, 2 * self.model.width
-        # boundary b of the window [base, done] has its best sum, backpointer and last piece at b - base
-        best, back, last = [0.0], [0], [-1]
-        base = done = 0
+        merging, pairs, shift, unknown, width = self.merging, self.pairs.get, self.shift, self.unknown, self.model.width
+        # (best sum, backpointer, last piece) of boundary b of the window [base, done], at b - base
+        nodes: list[tuple[float, int, int]] = [(0.0, 0, -1)]
+        base, done, look = 0, 0, 2 * width
         for at, (t, size, score) in self.matches(text):
-            end = at + 1
-            while done < end:  # earlier boundaries are final; a character without a piece leads to the new one
-                if done - base >= limit:
-                    keep = self.meeting(back, base, done, width)
-                    if keep > base:
-                        yield self.walk(text, back, last, base, keep)
-                        del best[: keep - base], back[: keep - base], last[: keep - base]
-                        base = keep
-                    limit = done - base + width
-                best.append(best[-1] + unknown)
-                back.append(done)
-                last.append(-1)
+            while done < at:  # no piece ends here; the character alone leads on
+                nodes.append((nodes[-1][0] + unknown, done, -1))
                 done += 1
-            start = end - size
-            if merging:
-                u = last[start - base]
-                if u >= 0:
-                    fit = pairs(u << shift | t)
-                    if not fit and (fit is not None or not self.agree(u, t)):
-                        continue
-            total = best[start - base] + score
-            if total > best[-1]:
-                best[-1], back[-1], last[-1] = total, start, t
-        for b in range(done, len(text)):
-            back.append(b)
-            last.append(-1)
-        yield self.walk(text, back, last, base, len(text))
+            if done > at and merging:  # no more than one of the steps to a boundary is allowed
+                continue
+            start = at + 1 - size
+            total, _, u = nodes[start - base]
+            if merging and u >= 0:
+                fit = pairs(u << shift | t)
+                if not fit and (fit is not None or not self.agree(u, t)):
+                    continue
+            total += score
+            if done > at:
+                if total > nodes[-1][0]:
+                    nodes[-1] = (total, start, t)
+                continue
+            if done >= look:  # all boundaries so far are final
+                keep = self.meeting(nodes, base, done, width)
+                if keep > base:
+                    yield self.walk(text, nodes, base, keep)
+                    del nodes[: keep - base]
+                    base = keep
+                look = done + width
+            alone = nodes[-1][0] + unknown
+            nodes.append((total, start, t) if total > alone else (alone, at, -1))
+            done += 1
+        nodes.extend((0.0, b, -1) for b in range(done, len(text)))
+        yield self.walk(text, nodes, base, len(text))
 
     @staticmethod
-    def meeting(back: list[int], base: int, done: int, width: int) -> int:
+    def meeting(nodes: list[tuple[float, int, int]], base: int, done: int, width: int) -> int:
         """The boundary through which the paths of all boundaries from which a piece may still start pass, or base."""
         front = set(range(done - width + 1, done + 1))
         while len(front) > 1:
             far = max(front)
             front.remove(far)
-            front.add(max(base, back[far - base]))
+            front.add(max(base, nodes[far - base][1]))
         return front.pop()
 
-    def walk(self, text: str, back: list[int], last: list[int], base: int, end: int) -> list[int]:
+    def walk(self, text: str, nodes: list[tuple[float, int, int]], base: int, end: int) -> list[int]:
         """Ids of the path that leads from base to a boundary."""
         out: list[int] = []
         while end > base:
-            before, t = back[end - base], last[end - base]
+            _, before, t = nodes[end - base]
             if t < 0:
                 out.extend(self.model.byte_ids[b] for b in reversed(text[before:end].encode()))
             else:
