@@ -113,6 +113,8 @@ FAMILIES = tuple(TEMPLATES)
 UNKNOWN = len(FAMILIES)
 #: Words of a window and steps between windows; the longest clause has under 49 words.
 WINDOWS = ((16, 4), (32, 8), (64, 16))
+#: Bytes up to the next blank that can belong to a span's first or last word.
+JOINED = 40
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -205,7 +207,13 @@ class Paragraphs:
         return total / np.sqrt(2 * (last - first) - 1)[:, None] + bias
 
     def text(self, data: np.ndarray, first: int, last: int) -> str:
-        return data[self.word_starts[first] : self.word_ends[last - 1]].tobytes().decode("utf-8", "replace")
+        """The bytes of a span. Parts of a hyphenated word are words of their own to the classifier; here it stays whole."""
+        begin, end = self.word_starts[first], self.word_ends[last - 1]
+        after = wb.BLANK[data[end : end + JOINED]]
+        before = wb.BLANK[data[max(0, begin - JOINED) : begin]][::-1]
+        end += int(after.argmax()) if after.any() else len(after)
+        begin -= int(before.argmax()) if before.any() else len(before)
+        return data[begin:end].tobytes().decode("utf-8", "replace")
 
     def features(self, i: int) -> np.ndarray:
         a, b = self.first[i], self.last[i]
