@@ -11,7 +11,36 @@ LONG_WORD = r"(?U)\b\w{15,}\b"
 
 def tokens(text: Column) -> Column:
     """Tokens between runs of Unicode white space; blank text gives an empty array, null stays null."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"(?U)\s+"), "")
+
+
+def trimmed(text: Column) -> Column:
+    """Text without Unicode white space at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def plain_number(value: Column) -> Column:
+    """A double as text without exponent, and without a fraction of zero: 3, 0.5, 12345678."""
+    text = value.cast("string")
+    whole = F.regexp_replace(text, r"\.0$", "")
+    mantissa, power = F.regexp_extract(text, r"^-?([0-9.]+)E", 1), F.regexp_extract(text, r"E(-?\d+)$", 1)
+    digits = F.regexp_replace(F.replace(mantissa, F.lit(".")), "0+$", "")
+    shift = F.when(power == "", F.lit("0")).otherwise(power).cast("int")
+    # the point stands after the first digit; it moves by the power of ten
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -shift - 1), digits)
+    large = F.when(F.length(digits) <= shift + 1, F.rpad(digits, shift + 1, "0")).otherwise(F.concat(F.substring(digits, F.lit(1), shift + 1), F.lit("."), F.substring(digits, shift + 2, F.length(digits))))
+    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    return F.when(~text.contains("E"), whole).when(shift < 0, F.concat(sign, small)).otherwise(F.concat(sign, large))
+
+
+def quoted_line(quoted: list[Column], plain: list[Column]) -> Column:
+    """Comma-separated text: first the fields in double quotes, then those without."""
+    return F.concat_ws(",", *(F.concat(F.lit('"'), q, F.lit('"')) for q in quoted), *plain)
+
+
+def title_year(title: Column) -> Column:
+    """The four characters before the last one of a title like ``Name (1999)`` as a number; others fail the task."""
+    return F.substring(title, -5, 4).cast("int")
 
 
 def strip_cr(line: Column) -> Column:

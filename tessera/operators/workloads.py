@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import has_long_word, longest_alpha_bytes, tokens
+from tessera.functions.text import has_long_word, longest_alpha_bytes, plain_number, quoted_fields, quoted_line, title_year, tokens, trimmed
 
 
 def word_count(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -61,6 +61,38 @@ def rating_aggregate_tagged(items: DataFrame, ratings: DataFrame, key: str) -> D
     return g.where(F.col("title").isNotNull())
 
 
+def aggregate_lines(rated: DataFrame) -> DataFrame:
+    """(key, value): the text output of the aggregator, ``"title","genres",rating,count``."""
+    return rated.select(F.col(rated.columns[0]).cast("string").alias("key"), quoted_line([F.col("title"), F.col("genres")], [plain_number(F.col("rating")), F.col("rating_count").cast("string")]).alias("value"))
+
+
+def aggregate_records(lines: DataFrame, value: str = "value") -> DataFrame:
+    """(title, genres, rating, rating_count) of such lines; blank lines and lines without four fields are passed over."""
+    f = lines.select(quoted_fields(trimmed(F.col(value))).alias("f")).where(F.size("f") == 4)
+    return f.select(F.col("f")[0].alias("title"), F.col("f")[1].alias("genres"), F.col("f")[2].cast("double").alias("rating"), F.col("f")[3].cast("long").alias("rating_count"))
+
+
+def ratings_by_title_year(rated: DataFrame) -> DataFrame:
+    """(year, title, values): the ratings of each title, in the year that its title names."""
+    return values_by_year(rated, title_year(F.col("title")), "title", F.col("rating"))
+
+
+def rated_from_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """The aggregator over mixed lines: three fields are an item (id, title, genres), other numbers of fields a rating
+    (field 1 the item's id, field 2 the rating)."""
+    f = lines.select(quoted_fields(F.col(value)).alias("f"))
+    is_item = F.size("f") == 3
+    get = lambda i: F.get("f", F.lit(i))
+    items = f.where(is_item).select(get(0).cast("long").alias("item"), get(1).alias("title"), get(2).alias("genres"))
+    ratings = f.where(~is_item).select(get(1).cast("long").alias("item"), get(2).cast("double").alias("rating"))
+    return rating_aggregate_tagged(items, ratings, "item")
+
+
+def ordered_parts(rows: DataFrame, bucket: str, key: str, files: int) -> DataFrame:
+    """Rows dealt to output files in ascending order of their bucket, each file sorted by key."""
+    return rows.repartitionByRange(files, bucket).sortWithinPartitions(bucket, key)
+
+
 def best_per_genre(rated: DataFrame, more_than: int = 100, separator: str = "|", tie: str | None = None) -> DataFrame:
     """(genre, title, rating): the best item of each genre among those rated more than ``more_than`` times.
 

@@ -75,6 +75,7 @@ PAIRS = r"""SELECT ws[i] AS w1, ws[i + 1] AS w2 FROM (SELECT ws, unnest(range(1,
 
 @query(f"SELECT w2 AS word, count(DISTINCT w1) AS n FROM ({PAIRS.format(where='WHERE n_chars >= 200')}) GROUP BY w2")
 def distinct_predecessors(spark, sf):
+    """With a numeric predicate on a field, as the n-gram workload has one on its year; see distinct_predecessors_of_all."""
     docs = table(spark, sf, "documents").where(F.col("n_chars") >= 200)
     return wl.distinct_predecessors(wl.bigrams(docs))
 
@@ -188,6 +189,69 @@ def value_aware_groups(spark, sf):
     return e.groupBy("event_type", "pid").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
+@query("SELECT event_type, user_id % 4 AS pid, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
+def generic_job_value_partitions(spark, sf):
+    """The generic job with a partitioner that looks at the value, and a set as its combiner."""
+
+    def mapper(path: str, value: str):
+        return [(path, int(value))]
+
+    job = mr.JobSpec(mapper, lambda k, v: [len(set(v))], lambda k, v: v % 4, lambda k, v: sorted(set(v)), value_type="long", output_type="long")
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("path"), F.col("user_id").cast("string").alias("value"))
+    return mr.run_job(job, rows).select(F.col("key").alias("event_type"), "pid", F.col("values")[0].alias("users"))
+
+
+@query(RATED)
+def rating_aggregate_from_lines(spark, sf):
+    """Lines of both kinds, told apart by their number of fields."""
+    item = table(spark, sf, "part").select(F.concat_ws(",", "p_partkey", "p_name", "p_type").alias("value"))
+    rating = table(spark, sf, "lineitem").select(F.concat_ws(",", "l_orderkey", "l_partkey", "l_quantity", "l_linenumber").alias("value"))
+    return wl.rated_from_lines(item.unionByName(rating))
+
+
+DATED = f"SELECT item, title || ' (' || (1990 + item % 12)::VARCHAR || ')' AS title, replace(genres, ' ', '|') AS genres, rating, rating_count FROM ({RATED})"
+
+
+def dated_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The aggregator's output as text lines, with titles that end in a year."""
+    rated = wl.rating_aggregate(*items_and_ratings(spark, sf), "item")
+    title = F.concat("title", F.lit(" ("), (F.col("item") % 12 + 1990).cast("string"), F.lit(")"))
+    return wl.aggregate_lines(rated.withColumns({"title": title, "genres": F.replace("genres", F.lit(" "), F.lit("|"))}))
+
+
+@query(f"""SELECT item::VARCHAR AS key, '"' || title || '","' || genres || '",' || regexp_replace(rating::VARCHAR, '\\.0$', '') || ',' || rating_count::VARCHAR AS value FROM ({DATED})""")
+def aggregator_text(spark, sf):
+    return dated_lines(spark, sf)
+
+
+@query(f"""SELECT genre, title, rating FROM (SELECT genre, title, rating, row_number() OVER (PARTITION BY genre ORDER BY rating DESC, title) AS r
+FROM (SELECT *, unnest(string_split(genres, '|')) AS genre FROM ({DATED})) WHERE rating_count > 20 AND rating > 0) WHERE r = 1""")
+def best_per_genre_from_text(spark, sf):
+    return wl.best_per_genre(wl.aggregate_records(dated_lines(spark, sf)), more_than=20)
+
+
+@query(f"SELECT (1990 + item % 12)::INT AS year, title, rating FROM ({DATED})")
+def ratings_by_title_year(spark, sf):
+    by_year = wl.ratings_by_title_year(wl.aggregate_records(dated_lines(spark, sf)))
+    return by_year.select("year", "title", F.explode("values").alias("rating"))
+
+
+@query(r"SELECT o_orderkey, regexp_replace((o_totalprice * 1000)::VARCHAR, '\.0$', '') AS price FROM orders")
+def plain_number_text(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", tx.plain_number(F.col("o_totalprice") * 1000).alias("price"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(chr(10) || ' ' || text || chr(9), '^\s+|\s+$', '', 'g')) AS digest FROM documents")
+def trimmed_text(spark, sf):
+    padded = F.concat(F.lit("\n "), "text", F.lit("\t"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(tx.trimmed(padded)).alias("digest"))
+
+
+@query(f"SELECT w2 AS word, count(DISTINCT w1) AS n FROM ({PAIRS.format(where='')}) GROUP BY w2")
+def distinct_predecessors_of_all(spark, sf):
+    return wl.distinct_predecessors(wl.bigrams(table(spark, sf, "documents")))
+
+
 @query(r"""SELECT item, title, n FROM (SELECT p_partkey AS item, p_name AS title, len(string_split(p_name || ',' || p_brand || ',' || p_type, ',')) AS n FROM part) WHERE n = 3""")
 def dispatch_by_field_count(spark, sf):
     part = table(spark, sf, "part")

@@ -18,15 +18,30 @@ def set_map_size(spark: SparkSession, megabytes: int = DEFAULT_MAP_SIZE_MB) -> N
     spark.conf.set("spark.sql.files.maxPartitionBytes", megabytes * MB)
 
 
-def files_in(spark: SparkSession, path: str) -> list[str]:
-    """The files directly in a folder, or the file itself; folders inside and hidden files do not count."""
+def input_files(spark: SparkSession, path: str) -> str | list[str]:
+    """What Spark shall read: the files directly in a folder, or the file itself; an error when there is none.
+
+    A folder without folders inside is given to Spark as it is, so that no list of its files is made here. Hidden files
+    do not count.
+    """
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    found = [s.getPath() for s in fs.listStatus(at) if s.isFile()]
-    names = [p.toString() for p in found if not p.getName().startswith(("_", "."))]
-    if not names:
-        raise FileNotFoundError(f"no files in {path}")
-    return names
+    if not fs.exists(at):
+        raise FileNotFoundError(f"{path} does not exist")
+    hidden = lambda s: s.getPath().getName().startswith(("_", "."))
+    files = folders = False
+    each = fs.listStatusIterator(at)
+    while each.hasNext() and not folders:
+        s = each.next()
+        files |= s.isFile() and not hidden(s)
+        folders |= s.isDirectory() and not hidden(s)
+    if folders:
+        names = [s.getPath().toString() for s in fs.listStatus(at) if s.isFile() and not hidden(s)]
+        if names:
+            return names
+    elif files:
+        return path
+    raise FileNotFoundError(f"no files in {path}")
 
 
 def text_lines(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -35,14 +50,14 @@ def text_lines(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
     Only a line feed ends a line; one carriage return before it is dropped. With ``strict``, invalid
     UTF-8 fails the job, as a malformed record should.
     """
-    raw = spark.read.option("lineSep", "\n").text(files_in(spark, path))
+    raw = spark.read.option("lineSep", "\n").text(input_files(spark, path))
     value = F.validate_utf8("value") if strict else F.col("value")
     return raw.select(F.col("_metadata.file_path").alias("path"), strip_cr(value).alias("value"))
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """One row for each file (path STRING, value STRING), for mappers that need the whole text."""
-    raw = spark.read.text(files_in(spark, path), wholetext=True)
+    raw = spark.read.text(input_files(spark, path), wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.validate_utf8("value").alias("value"))
 
 

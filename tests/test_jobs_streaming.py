@@ -5,7 +5,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.plans.jobs import Jobs, Status, fair_pools
+from tessera import cli
+from tessera.plans.jobs import Jobs, Status, ask_cancel, noted
+from tessera.session import fair_pools
 from tessera.streaming import counts
 
 
@@ -39,6 +41,52 @@ def test_priorities(spark):
     assert '<pool name="priority-7"><schedulingMode>FAIR</schedulingMode><weight>7</weight></pool>' in fair_pools()
 
 
+def test_pools_are_installed(spark):
+    pool = spark.sparkContext._jsc.sc().getPoolForName("priority-7")
+    assert pool.isDefined() and pool.get().weight() == 7
+
+
+def test_states_in_files(spark, tmp_path):
+    """Other processes see the states and may ask for a cancel; a job whose check fails is refused."""
+    jobs = Jobs(spark, str(tmp_path / "jobs"))
+    slow = jobs.submit("slow", lambda s: s.range(10**12).select(F.sum(F.xxhash64("id") % 7)).collect(), client="c")
+    while noted(str(tmp_path / "jobs"), "c")[0]["status"] != "IN_PROGRESS":
+        time.sleep(0.1)
+    assert ask_cancel(str(tmp_path / "jobs"), client="c") == slow
+    assert jobs.wait(slow, 60) is Status.CANCELLED
+    assert ask_cancel(str(tmp_path / "jobs"), client="c") is None and ask_cancel(str(tmp_path / "jobs"), "other") is None
+
+    def missing():
+        raise FileNotFoundError("no input")
+
+    with pytest.raises(FileNotFoundError, match="no input"):
+        jobs.submit("x", lambda s: None, check=missing)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    state = ["--state", str(tmp_path / "state")]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text('1,"Bad, The (1999)",A|B\n2,Good (2000),B\n' + "7,1,4.5,100\n" * 150 + "7,2,5,100\n" * 2)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        run = lambda name, source, out: cli.main([*state, "run", name, "--input", str(tmp_path / source), "--output", str(tmp_path / out)], spark)
+        assert run("rating-aggregator", "in", "rated") == run("rating-by-genre", "rated", "best") == run("rating-by-year", "rated", "years") == run("concat", "in", "joined") == 0
+        with pytest.raises(FileNotFoundError):
+            run("grep", "nowhere", "x")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    values = lambda name: {(r["pid"], r["key"], tuple(r["values"])) for r in spark.read.json(str(tmp_path / name)).collect()}
+    assert {v for _, _, v in values("rated")} == {('"Bad, The (1999)","A|B",4.5,150',), ('"Good (2000)","B",5,2',)}
+    assert values("best") == {(0, "A", ("Bad, The (1999)", "4.5")), (0, "B", ("Bad, The (1999)", "4.5"))}
+    assert values("years") == {(1999, "Bad, The (1999)", (4.5,)), (2000, "Good (2000)", (5.0,))}
+    with pytest.raises(SystemExit):
+        cli.main([*state, "run", "grep", "--input", "relative"], spark)
+    capsys.readouterr()
+    assert cli.main([*state, "status"]) == 0 and capsys.readouterr().out.count("DONE") == 4
+    assert cli.main([*state, "cluster-status"]) == 0 and "DONE\t4" in capsys.readouterr().out
+    assert cli.main([*state, "cancel"]) == 1
+
+
 def test_streamed_windows_equal_batch(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     batch = counts.event_counts(spark.read.parquet(f"{sf}/events.parquet"))
