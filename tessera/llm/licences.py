@@ -120,12 +120,13 @@ WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 @dataclass(frozen=True)
 class Settings:
-    """unknown: documents whose paragraphs stand for unknown text, at most; copies: distorted copies of each clause."""
+    """unknown: documents whose paragraphs stand for unknown text, at most; copies: distorted copies of each clause; batch: samples of a gradient step."""
 
     unknown: int = 400
     copies: int = 30
     buckets: int = 1 << 14
     epochs: int = 12
+    batch: int = 32
     rate: float = 0.5
     decay: float = 1e-5
     false_share: float = 0.002
@@ -133,9 +134,13 @@ class Settings:
     seed: int = 3
 
 
-def pairs_of(text: str) -> frozenset[tuple[str, str]]:
+def word_pairs(text: str) -> list[tuple[str, str]]:
     words = WORD.findall(text.lower())
-    return frozenset(zip(words[:-1], words[1:], strict=True)) if len(words) > 1 else frozenset((w, "") for w in words)
+    return list(zip(words[:-1], words[1:], strict=True)) if len(words) > 1 else [(w, "") for w in words]
+
+
+def pairs_of(text: str) -> frozenset[tuple[str, str]]:
+    return frozenset(word_pairs(text))
 
 
 CLAUSES = {f: [pairs_of(c) for c in clauses] for f, clauses in TEMPLATES.items()}
@@ -172,7 +177,6 @@ class Paragraphs:
         new = np.ones(len(at), bool)
         new[1:] = (np.diff(at) > 1) | (np.diff(doc) > 0)
         head = np.flatnonzero(new)
-        self.line_paragraph = np.cumsum(new) - 1
         self.first = self.line_first[head]
         self.last = np.append(self.first[1:], len(c.starts)) if len(head) else self.first
         self.starts, self.doc = cuts[full][head], doc[head]
@@ -185,7 +189,7 @@ class Paragraphs:
 
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First and last word, and paragraph, of all lines and windows; a paragraph's last window ends where it ends."""
-        first, last, owner = [self.line_first], [self.line_last], [self.line_paragraph]
+        first, last = [self.line_first], [self.line_last]
         size = self.last - self.first
         for length, step in WINDOWS:
             n = 1 + np.maximum(0, -(-(size - length) // step))
@@ -194,9 +198,9 @@ class Paragraphs:
             a = self.first[of] + np.minimum(k * step, np.maximum(0, size[of] - length))
             first.append(a)
             last.append(np.minimum(a + length, self.last[of]))
-            owner.append(of)
-        found = np.unique(np.stack([np.concatenate(first), np.concatenate(last), np.concatenate(owner)]), axis=1)
-        return found[0], found[1], found[2]
+        # one number for each span, as its first word says its paragraph
+        a, b = np.divmod(np.unique(np.concatenate(first) * (len(self.words) + 1) + np.concatenate(last)), len(self.words) + 1)
+        return a, b, np.searchsorted(self.first, a, "right") - 1
 
     def logits(self, weights: np.ndarray, bias: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Class scores of spans of words: weights summed over features, by the root of their number."""
@@ -248,16 +252,21 @@ def distorted(clause: str, rng: np.random.Generator, filler: list[str]) -> str:
     return " ".join(out)
 
 
+def no_clause(text: str, cover: float) -> bool:
+    """Whether the text has less than ``cover`` of the word pairs of every clause."""
+    own = pairs_of(text)
+    return all(len(own & c) < cover * len(c) for clauses in CLAUSES.values() for c in clauses)
+
+
 def learned(lines: list[str], s: Settings) -> Model:
     """Fits the regression on distorted clauses and the given unknown lines, and sets the threshold."""
     rng = np.random.default_rng(s.seed)
-    apart = [c for clauses in CLAUSES.values() for c in clauses]
-    lines = [x for x in lines if all(len(pairs_of(x) & c) < s.cover * len(c) for c in apart)]
+    lines = [x for x in lines if no_clause(x, s.cover)]
     filler = sorted({w for x in lines for w in x.split()}) or ["lorem", "ipsum", "dolor", "sit", "amet"]
     cases = [(distorted(c, rng, filler), k) for k, f in enumerate(FAMILIES) for c in TEMPLATES[f] for _ in range(s.copies)]
     # words of the clauses in any order, and filler, are unknown too
-    bag = [w for clauses in TEMPLATES.values() for c in clauses for w in c.split()]
-    cases += [(" ".join(rng.choice(bag if k % 3 == 0 else filler, int(rng.integers(3, 40)))), UNKNOWN) for k in range(600)]
+    bags = [np.array(w, object) for w in ([w for clauses in TEMPLATES.values() for c in clauses for w in c.split()], filler, filler)]
+    cases += [(" ".join(rng.choice(bags[k % 3], int(rng.integers(3, 40)))), UNKNOWN) for k in range(600)]
     cases += [(x, UNKNOWN) for x in lines]
     texts = pa.array([t.replace("\n", " ") or "x" for t, _ in cases])
     data, offsets = wb.text_bytes(texts)
@@ -268,17 +277,20 @@ def learned(lines: list[str], s: Settings) -> Model:
     weights = np.zeros((s.buckets, UNKNOWN + 1), np.float32)
     bias = np.zeros(UNKNOWN + 1, np.float32)
     train = np.flatnonzero(~test)
+    found = {i: p.features(i) for i in train.tolist()}
     for epoch in range(s.epochs):
         rate = s.rate * (1 - epoch / s.epochs)
-        for i in rng.permutation(train).tolist():
-            f = p.features(i)
-            scale = 1 / np.sqrt(len(f))
-            z = weights[f].sum(axis=0) * scale + bias
-            g = np.exp(z - z.max())
-            g /= g.sum()
-            g[label[i]] -= 1
-            np.subtract.at(weights, f, rate * scale * g)
-            bias -= rate * 0.1 * g
+        order = rng.permutation(train).tolist()
+        for batch in (order[k : k + s.batch] for k in range(0, len(order), s.batch)):
+            sizes = np.array([len(found[i]) for i in batch])
+            flat, scale = np.concatenate([found[i] for i in batch]), (1 / np.sqrt(sizes))[:, None].astype(np.float32)
+            g = probabilities(np.add.reduceat(weights[flat], np.cumsum(sizes) - sizes, axis=0) * scale + bias)
+            g[np.arange(len(batch)), label[batch]] -= 1
+            # the batch's gradient, summed once for each different feature
+            by_feature = np.argsort(flat, kind="stable")
+            own, first = np.unique(flat[by_feature], return_index=True)
+            weights[own] -= rate * np.add.reduceat(np.repeat(g * scale, sizes, axis=0)[by_feature], first, axis=0)
+            bias -= rate * 0.1 * g.sum(axis=0)
         weights *= 1 - s.decay * len(train)
     held, truth = p.logits(weights, bias, p.first, p.last)[test], label[test]
     scales = np.geomspace(0.25, 4, 41)
@@ -296,26 +308,32 @@ def fit(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: st
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "id")
     rows = rows.groupBy("id").agg(F.min("text").alias("text"))
     texts = sorted(r["text"] or "" for r in rows.select("text").collect())
-    apart = [c for clauses in CLAUSES.values() for c in clauses]
-    paragraphs = [x for t in texts for x in re.split(r"\n(?:[^\w\n]*\n)+", t)]
-    paragraphs = [x for x, own in ((x, pairs_of(x)) for x in paragraphs) if all(len(own & c) < s.cover * len(c) for c in apart)]
+    paragraphs = [x for t in texts for x in re.split(r"\n(?:[^\w\n]*\n)+", t) if no_clause(x, s.cover)]
     return learned([x for t in paragraphs for x in t.split("\n") if x.strip()], s)
 
 
 def confirmed(text: str, family: str, cover: float) -> float:
     """The largest share of a clause's word pairs in a stretch of the text that is made of them; 0 below ``cover``."""
-    words = WORD.findall(text.lower())
-    pairs = list(zip(words[:-1], words[1:], strict=True)) if len(words) > 1 else [(w, "") for w in words]
-    if not DENIED.isdisjoint(pairs):
-        return 0.0
-    own, best = frozenset(pairs), 0.0
-    for c, apart in zip(CLAUSES[family], OWN[family], strict=True):
-        if len(own & c) >= max(cover, best) * len(c) and 2 * len(own & apart) >= len(apart):
-            found = frozenset(stretch(pairs, c))
-            share = len(found) / len(c)
-            if share >= cover and 2 * len(found & apart) >= len(apart):
-                best = max(best, share)
-    return best
+    return confirmed_families(text, cover).get(family, 0.0)
+
+
+def confirmed_families(text: str, cover: float) -> dict[str, float]:
+    """The families that the text confirms, with the share of each."""
+    pairs = word_pairs(text)
+    own, found = frozenset(pairs), {}
+    if not DENIED.isdisjoint(own):
+        return found
+    for family in FAMILIES:
+        best = 0.0
+        for c, apart in zip(CLAUSES[family], OWN[family], strict=True):
+            if len(own & c) >= max(cover, best) * len(c) and 2 * len(own & apart) >= len(apart):
+                inside = frozenset(stretch(pairs, c))
+                share = len(inside) / len(c)
+                if share >= cover and 2 * len(inside & apart) >= len(apart):
+                    best = max(best, share)
+        if best:
+            found[family] = best
+    return found
 
 
 def stretch(pairs: list[tuple[str, str]], clause: frozenset[tuple[str, str]]) -> set[tuple[str, str]]:
@@ -347,9 +365,8 @@ def scanned(docs: DataFrame, model: Model, s: Settings = Settings(), key: str =
         for i in np.flatnonzero(1 - prob[:, UNKNOWN] >= model.threshold).tolist():
             text, d, at = p.text(data, first[i], last[i]), int(p.doc[owner[i]]), int(owner[i])
             predicted.setdefault(d, set()).add(at)
-            for k, family in enumerate(FAMILIES):
-                if share := confirmed(text, family, s.cover):
-                    hits.setdefault(d, []).append((family, float(prob[i, k]), share, at))
+            for family, share in confirmed_families(text, s.cover).items():
+                hits.setdefault(d, []).append((family, float(prob[i, FAMILIES.index(family)]), share, at))
         for d, n in enumerate(n_paragraphs):
             sure = hits.get(d, [])
             top = max(sure, key=lambda h: (h[2], h[1], h[0]), default=(None, 0.0, 0.0, 0))
