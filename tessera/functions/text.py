@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,25 +61,29 @@ def longest_alpha_bytes(line: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(runs, F.octet_length)), F.lit(0))
 
 
+def number_table(numbers: Iterable[int]) -> Column:
+    """A constant array."""
+    return F.expr(f"array({', '.join(map(str, numbers))})")
+
+
 def base36_digit(text: Column, place: int) -> Column:
     """Digit of the character at ``place`` (from 1): missing is 0, other characters are 37."""
     c = F.substring(text, place, 1)
-    digit = F.instr(F.lit(BASE36_DIGITS), F.lower(c)) - 1
-    return F.when(c == "", 0).when((F.ascii(c) < 128) & (digit >= 0), digit).otherwise(37)
+    digits = [BASE36_DIGITS.find(chr(i).lower()) for i in range(128)]
+    digit = F.get(number_table(37 if d < 0 else d for d in digits), F.ascii(c))
+    return F.when(c == "", 0).otherwise(F.coalesce(digit, F.lit(37)))
 
 
-def scaled(digit: Column, low: Column, high: Column) -> Column:
+def scaled(digit: int, low: int, high: int) -> int:
     """Integer position of a digit 0..36 in low..high; 37 is the upper end."""
-    inside = low + F.call_function("div", digit * (high - low), F.lit(37))
-    return F.when(digit >= 37, high).otherwise(inside)
+    return high if digit >= 37 else low + digit * (high - low) // 37
 
 
 def alpha_bucket(word: Column, buckets: int = 200) -> Column:
     """Alphabetic range id in 0..buckets from the first two characters of a word."""
-    first, second = base36_digit(word, 1), base36_digit(word, 2)
-    low = scaled(first, F.lit(0), F.lit(buckets))
-    high = scaled(first + 1, F.lit(0), F.lit(buckets))
-    return scaled(second, low, high).cast("int")
+    ends = [scaled(first, 0, buckets) for first in range(39)]
+    table = number_table(scaled(second, ends[first], ends[first + 1]) for first in range(38) for second in range(38))
+    return F.get(table, base36_digit(word, 1) * 38 + base36_digit(word, 2))
 
 
 def first_letter_half(word: Column) -> Column:

@@ -1,19 +1,23 @@
 """The generic job: map, optional combine, partition, reduce, lowered to one DataFrame plan.
 
     map + combine (Arrow batches, one Python worker per task)
-      -> shuffle on (partition id, key), values gathered
-      -> reduce (Arrow batches)
+      -> shuffle on (partition id, key), pieces of a group sorted next to each other
+      -> reduce (Arrow batches), a group's pieces one after the other
 
-The grouping key is (partition id, key), since a partitioner may look at the value.
+The grouping key is (partition id, key), since a partitioner may look at the value. Values travel in pieces of bounded
+length, so that no row, batch or task holds more of a group than its reducer keeps.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +26,19 @@ Folder = Callable[[Any, list], Iterable[Any]]
 Partitioner = Callable[[Column, Column], Column]
 
 #: Pairs that a map task holds before it combines and passes them on.
-COMBINE_EVERY = 200_000
+COMBINE_EVERY = 500_000
+#: Values in a row on the way to the reducer, at most; an Arrow batch holds 10,000 rows by default.
+PIECE = 256
+#: Groups, and outputs, that a reduce task holds before it passes them on.
+GROUPS_EVERY, OUTPUTS_EVERY = 10_000, 200_000
 
 
 @dataclass(frozen=True)
 class JobSpec:
-    """What a job is made of. Types are DDL strings; a combiner returns values of the intermediate type."""
+    """What a job is made of. Types are DDL strings; a combiner returns values of the intermediate type.
+
+    A reducer gets the list of a group's values; with ``streams`` an iterator over them, so that the group need not fit
+    in memory."""
 
     mapper: Mapper | None = None
     reducer: Folder | None = None
@@ -36,6 +47,7 @@ class JobSpec:
     key_type: str = "string"
     value_type: str = "string"
     output_type: str = "string"
+    streams: bool = False
 
     def validate(self) -> JobSpec:
         """The job itself, or an error that names what is missing."""
@@ -56,52 +68,97 @@ def hash_partitioner(n: int) -> Partitioner:
     return lambda key, value: F.pmod(F.xxhash64(key), F.lit(n))
 
 
-def combined(pairs: dict[Any, list], combiner: Folder | None) -> Iterator[tuple[Any, Any]]:
-    """Pairs of some groups; groups with one value pass as they are."""
+def combined(pairs: dict[Any, list], combiner: Folder | None) -> tuple[list, list[list]]:
+    """Keys and, for each, a piece of its values; groups with one value pass as they are. A piece holds only nulls or none."""
+    keys, pieces = [], []
     for key, values in pairs.items():
         if combiner and len(values) > 1:
-            values = combiner(key, values)
-        for value in values:
-            yield key, value
+            values = list(combiner(key, values))
+        if None in values:
+            keys.append(key)
+            pieces.append([None])
+            values = [v for v in values if v is not None]
+        for i in range(0, len(values), PIECE):
+            keys.append(key)
+            pieces.append(values[i : i + PIECE])
+    return keys, pieces
 
 
 def map_stage(job: JobSpec, rows: DataFrame) -> DataFrame:
-    """(key, value) pairs of (path, value) rows."""
+    """(key, values) of (path, value) rows: pieces of the values of a key."""
     mapper, combiner = job.mapper, job.combiner
 
+    def passed_on(held: dict[Any, list]) -> pd.DataFrame:
+        keys, pieces = combined(held, combiner)
+        return pd.DataFrame({"key": pd.Series(keys, dtype=object), "values": pd.Series(pieces, dtype=object)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[Any, list] = {}
+        held: dict[Any, list] = defaultdict(list)
         n = 0
         for batch in batches:
             for path, value in zip(batch["path"], batch["value"], strict=True):
                 for k, v in mapper(path, value):
-                    held.setdefault(k, []).append(v)
+                    held[k].append(v)
                     n += 1
                 if n >= COMBINE_EVERY:
-                    yield pd.DataFrame(list(combined(held, combiner)), columns=["key", "value"], dtype=object)
-                    held, n = {}, 0
+                    yield passed_on(held)
+                    held, n = defaultdict(list), 0
         if held:
-            yield pd.DataFrame(list(combined(held, combiner)), columns=["key", "value"], dtype=object)
+            yield passed_on(held)
+
+    return rows.select("path", "value").mapInPandas(run, f"key {job.key_type}, values array<{job.value_type}>")
+
+
+def placed(job: JobSpec, pieces: DataFrame) -> DataFrame:
+    """(pid, key, values): pieces of one partition each. Nulls are left out; their groups stay."""
+    try:
+        # a partitioner that only looks at the key runs once for each piece
+        out = pieces.select("key", F.col("values").alias("kept")).withColumn("pid", job.partitioner(F.col("key"), F.col("value")))
+    except AnalysisException:
+        out = pieces.select("key", F.explode("values").alias("value"))
+        out = out.select("key", F.array("value").alias("kept"), job.partitioner(F.col("key"), F.col("value")).alias("pid"))
+    values = F.when(F.get("kept", F.lit(0)).isNotNull(), F.col("kept")).otherwise(F.array().cast(f"array<{job.value_type}>"))
+    return out.select(F.col("pid").cast("long").alias("pid"), "key", values.alias("values"))
 
-    return rows.select("path", "value").mapInPandas(run, f"key {job.key_type}, value {job.value_type}")
 
+def group_stage(job: JobSpec, pieces: DataFrame) -> DataFrame:
+    """(pid, key, values): what the reducer sees, the pieces of a group next to each other. Their order is not defined."""
+    return placed(job, pieces).repartition("pid", "key").sortWithinPartitions("key", "pid")
 
-def group_stage(job: JobSpec, pairs: DataFrame) -> DataFrame:
-    """(pid, key, values): what the reducer sees. Value order within a group is not defined."""
-    placed = pairs.select(job.partitioner(F.col("key"), F.col("value")).cast("long").alias("pid"), "key", "value")
-    return placed.groupBy("pid", "key").agg(F.collect_list("value").alias("values"))
+
+def plain(values: Any) -> list:
+    """The items of an array that came by Arrow, numbers as Python's own."""
+    return values.tolist() if values.dtype.kind in "biufO" else list(values)
 
 
 def reduce_stage(job: JobSpec, groups: DataFrame) -> DataFrame:
     """(pid, key, values) with the reducer's outputs; a group without output keeps an empty list."""
-    reducer = job.reducer
+    reducer, streams = job.reducer, job.streams
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [list(reducer(k, list(v))) for k, v in zip(batch["key"], batch["values"], strict=True)]
-            yield pd.DataFrame({"pid": batch["pid"], "key": batch["key"], "values": pd.Series(out, dtype=object)})
+    def whole(rows: Iterable[tuple]) -> Iterator[tuple]:
+        # the hash stands for pid and key of any type; strings are compared as well
+        for _, same in groupby(rows, lambda r: (r[0], r[2]) if type(r[2]) is str else r[0]):
+            _, pid, key, values = next(same)
+            values = chain(plain(values), chain.from_iterable(plain(r[3]) for r in same))
+            yield pid, key, list(reducer(key, values if streams else list(values)))
 
-    return groups.mapInPandas(run, f"pid long, key {job.key_type}, values array<{job.output_type}>")
+    def passed_on(out: list[tuple]) -> pd.DataFrame:
+        pids, keys, values = zip(*out, strict=True)
+        return pd.DataFrame({"pid": pids, "key": pd.Series(keys), "values": pd.Series(values, dtype=object)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, n = [], 0
+        for row in whole(r for b in batches for r in zip(b["id"], b["pid"], b["key"], b["values"], strict=True)):
+            out.append(row)
+            n += len(row[2])
+            if len(out) >= GROUPS_EVERY or n >= OUTPUTS_EVERY:
+                yield passed_on(out)
+                out, n = [], 0
+        if out:
+            yield passed_on(out)
+
+    named = groups.select(F.xxhash64("pid", "key").alias("id"), "pid", "key", "values")
+    return named.mapInPandas(run, f"pid long, key {job.key_type}, values array<{job.output_type}>")
 
 
 def run_job(job: JobSpec, rows: DataFrame) -> DataFrame:

@@ -177,7 +177,7 @@ def generic_job_distinct_predecessors(spark, sf):
         w = value.split()
         return zip(w[1:], w[:-1], strict=True)
 
-    job = mr.JobSpec(mapper, lambda k, v: [len(set(v))], lambda k, v: tx.alpha_bucket(k).cast("long"), lambda k, v: sorted(set(v)), output_type="long")
+    job = mr.JobSpec(mapper, lambda k, v: [len(set(v))], lambda k, v: tx.alpha_bucket(k).cast("long"), lambda k, v: set(v), output_type="long", streams=True)
     out = mr.run_job(job, as_rows(table(spark, sf, "documents")))
     return out.select(F.col("key").alias("word"), F.col("values")[0].alias("n"))
 

@@ -173,6 +173,28 @@ def test_combiner_runs_for_groups_only(spark):
     assert make(combine).has_combiner and not make(None).has_combiner
 
 
+def test_groups_travel_in_pieces(spark):
+    """No row grows with its group, and a partitioner of keys runs for pieces instead of pairs."""
+    half = lambda k, v: tx.first_letter_half(k)
+    job = mr.JobSpec(lambda p, v: ((w, w + p) for w in v.split()), lambda k, v: [str(len(v))], half)
+    n = 3 * mr.PIECE + 1
+    groups = mr.group_stage(job, mr.map_stage(job, rows(spark, "bar " * n + "zar")))
+    got = groups.collect()
+    assert sorted((r["pid"], r["key"], len(r["values"])) for r in got) == sorted([(0, "bar", mr.PIECE)] * 3 + [(0, "bar", 1), (1, "zar", 1)])
+    assert {(r["pid"], r["key"], r["values"][0]) for r in mr.reduce_stage(job, groups).collect()} == {(0, "bar", str(n)), (1, "zar", "1")}
+    assert not {"collect_list", "explode"} & set(groups._jdf.queryExecution().executedPlan().toString().replace("(", " ").split())
+
+
+@pytest.mark.parametrize("by_value", [False, True])
+def test_null_values_are_left_out_and_their_groups_stay(spark, by_value):
+    big = 2**53 + 1
+    part = (lambda k, v: v * 0) if by_value else (lambda k, v: k.try_cast("long") * 0)
+    job = mr.JobSpec(lambda p, v: [("1", None), ("2", big), ("2", None), ("2", 3), ("3", big)], lambda k, v: sorted(v), part, value_type="long", output_type="long")
+    got = Counter((r["pid"], r["key"], tuple(r["values"])) for r in mr.run_job(job, rows(spark, "x")).collect())
+    null = None if by_value else 0
+    assert got == Counter([(null, "1", ()), (0, "2", (3, big)), (0, "3", (big,))] + [(None, "2", ())] * by_value)
+
+
 def test_incomplete_jobs(spark):
     for part in ("mapper", "reducer", "partitioner"):
         full = {"mapper": lambda p, v: [], "reducer": lambda k, v: [], "partitioner": mr.hash_partitioner(1)}
