@@ -149,7 +149,7 @@ def word_job(combine: bool) -> mr.JobSpec:
     def add(key, values):
         return [sum(values)]
 
-    return mr.JobSpec(mapper, add, mr.hash_partitioner(15), add if combine else None, value_type="long", output_type="long")
+    return mr.JobSpec(mapper, add, mr.hash_partitioner(15), add if combine else None, value_type="long", output_type="long", streams=True)
 
 
 def as_rows(docs: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def generic_job_value_partitions(spark, sf):
     def mapper(path: str, value: str):
         return [(path, int(value))]
 
-    job = mr.JobSpec(mapper, lambda k, v: [len(set(v))], lambda k, v: v % 4, lambda k, v: sorted(set(v)), value_type="long", output_type="long")
+    job = mr.JobSpec(mapper, lambda k, v: [len(set(v))], lambda k, v: v % 4, lambda k, v: sorted(set(v)), value_type="long", output_type="long", streams=True)
     rows = table(spark, sf, "events").select(F.col("event_type").alias("path"), F.col("user_id").cast("string").alias("value"))
     return mr.run_job(job, rows).select(F.col("key").alias("event_type"), "pid", F.col("values")[0].alias("users"))
 

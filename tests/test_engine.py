@@ -10,6 +10,7 @@ from tessera import cli
 from tessera.functions import text as tx
 from tessera.operators import mapreduce as mr
 from tessera.operators import workloads as wl
+from tessera.plans import catalog
 from tessera.sinks.json_parts import default_output, write_json_objects, write_json_partitions
 from tessera.sources.json_pairs import key_values
 from tessera.sources.text import by_field_count, field, records, set_map_size, text_lines, whole_files
@@ -185,6 +186,23 @@ def test_groups_travel_in_pieces(spark):
     assert not {"collect_list", "explode"} & set(groups._jdf.queryExecution().executedPlan().toString().replace("(", " ").split())
 
 
+def test_streaming_reducers(spark, monkeypatch):
+    """With ``streams`` no list of a whole group is made; the registered jobs ask for it."""
+    kind = lambda k, v: [type(v).__name__, str(sum(1 for _ in v))]
+    n = 2 * mr.PIECE + 5
+    make = lambda s: mr.JobSpec(lambda p, v: ((w, w) for w in v.split()), kind, mr.hash_partitioner(3), streams=s)
+    got = [{r["key"]: r["values"] for r in mr.run_job(make(s), rows(spark, "a " * n + "b")).collect()} for s in (False, True)]
+    assert got == [{"a": ["list", str(n)], "b": ["list", "1"]}, {"a": ["chain", str(n)], "b": ["chain", "1"]}]
+    first = lambda k, v: [k, next(iter(v))]
+    unread = mr.JobSpec(lambda p, v: ((w, w) for w in v.split()), first, mr.hash_partitioner(1), streams=True)
+    assert {tuple(r["values"]) for r in mr.run_job(unread, rows(spark, "a " * n + "b")).collect()} == {("a", "a"), ("b", "b")}
+    seen = []
+    monkeypatch.setattr(mr, "run_job", lambda job, rows, run=mr.run_job: seen.append(job.streams) or run(job, rows))
+    for name in ("word_count", "word_count_combined", "distinct_predecessors", "value_partitions"):
+        catalog.QUERIES[f"generic_job_{name}"](spark, "/root/testdata/sf0.001")
+    assert seen == [True] * 4
+
+
 @pytest.mark.parametrize("by_value", [False, True])
 def test_null_values_are_left_out_and_their_groups_stay(spark, by_value):
     big = 2**53 + 1
