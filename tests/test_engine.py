@@ -186,6 +186,14 @@ def test_groups_travel_in_pieces(spark):
     assert not {"collect_list", "explode"} & set(groups._jdf.queryExecution().executedPlan().toString().replace("(", " ").split())
 
 
+def test_combined_values_travel_in_pieces(spark):
+    n = 2 * mr.PIECE + 5
+    job = mr.JobSpec(lambda p, v: ((w, 1) for w in v.split()), lambda k, v: [sum(v)], mr.hash_partitioner(15), lambda k, v: [2 * x for x in v], value_type="long", output_type="long", streams=True)
+    groups = mr.group_stage(job, mr.map_stage(job, rows(spark, "a " * n + "b")))
+    assert sorted((r["key"], len(r["values"])) for r in groups.collect()) == [("a", 5), ("a", mr.PIECE), ("a", mr.PIECE), ("b", 1)]
+    assert {r["key"]: r["values"] for r in mr.reduce_stage(job, groups).collect()} == {"a": [2 * n], "b": [1]}
+
+
 def test_streaming_reducers(spark, monkeypatch):
     """With ``streams`` no list of a whole group is made; the registered jobs ask for it."""
     kind = lambda k, v: [type(v).__name__, str(sum(1 for _ in v))]
