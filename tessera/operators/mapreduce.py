@@ -5,7 +5,8 @@
       -> reduce (Arrow batches), a group's pieces one after the other
 
 The grouping key is (partition id, key), since a partitioner may look at the value. Values travel in pieces of bounded
-length, so that no row, batch or task holds more of a group than its reducer keeps.
+length, so that no row, batch or task holds more of a group than its reducer keeps. Texts travel to the mapper in cuts of
+bounded length, since Spark counts a batch's rows and not its bytes; the mapper gets each text whole.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ Partitioner = Callable[[Column, Column], Column]
 
 #: Pairs that a map task holds before it combines and passes them on.
 COMBINE_EVERY = 500_000
+#: Bytes of a text in a row on the way to the mapper, at most.
+CUT = 512
+#: Rows that a map task gathers before it passes them on.
+ROWS_EVERY = 10_000
 #: Values in a row on the way to the reducer, at most; an Arrow batch holds 10,000 rows by default.
 PIECE = 256
 #: Groups, and outputs, that a reduce task holds before it passes them on.
@@ -68,7 +73,7 @@ def hash_partitioner(n: int) -> Partitioner:
     return lambda key, value: F.pmod(F.xxhash64(key), F.lit(n))
 
 
-def combined(pairs: dict[Any, list], combiner: Folder | None) -> tuple[list, list[list]]:
+def combined(pairs: dict[Any, list], combiner: Folder | None) -> Iterator[tuple[list, list[list]]]:
     """Keys and, for each, a piece of its values; groups with one value pass as they are. A piece holds only nulls or none."""
     keys, pieces = [], []
     for key, values in pairs.items():
@@ -81,32 +86,57 @@ def combined(pairs: dict[Any, list], combiner: Folder | None) -> tuple[list, lis
         for i in range(0, len(values), PIECE):
             keys.append(key)
             pieces.append(values[i : i + PIECE])
-    return keys, pieces
+        if len(keys) >= ROWS_EVERY:
+            yield keys, pieces
+            keys, pieces = [], []
+    if keys:
+        yield keys, pieces
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """(path, part, more) of (path, value) rows: the bytes of a text in parts, one after the other. The last has the path."""
+    # bytes, since a place in a string is only found by counting from its start
+    out = rows.select("path", F.col("value").cast("binary").alias("value"))
+    out = out.withColumn("n", F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("value"), F.lit(0)) / CUT)).cast("int"))
+    out = out.select("path", "value", "n", F.posexplode(F.sequence(F.lit(1), "n")).alias("before", "i"))
+    more = F.col("i") < F.col("n")
+    part = F.substring("value", F.col("before") * CUT + 1, F.lit(CUT))
+    return out.select(F.when(~more, F.col("path")).alias("path"), part.alias("part"), more.alias("more"))
+
+
+def texts(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[str, str]]:
+    """(path, value): the texts that were cut, whole again."""
+    parts: list[bytes] = []
+    for batch in batches:
+        for path, part, more in zip(batch["path"], batch["part"], batch["more"], strict=True):
+            parts.append(part)
+            if not more:
+                value = None if part is None else b"".join(parts).decode()
+                parts.clear()
+                yield path, value
 
 
 def map_stage(job: JobSpec, rows: DataFrame) -> DataFrame:
     """(key, values) of (path, value) rows: pieces of the values of a key."""
     mapper, combiner = job.mapper, job.combiner
 
-    def passed_on(held: dict[Any, list]) -> pd.DataFrame:
-        keys, pieces = combined(held, combiner)
-        return pd.DataFrame({"key": pd.Series(keys, dtype=object), "values": pd.Series(pieces, dtype=object)})
+    def passed_on(held: dict[Any, list]) -> Iterator[pd.DataFrame]:
+        for keys, pieces in combined(held, combiner):
+            yield pd.DataFrame({"key": pd.Series(keys, dtype=object), "values": pd.Series(pieces, dtype=object)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[Any, list] = defaultdict(list)
         n = 0
-        for batch in batches:
-            for path, value in zip(batch["path"], batch["value"], strict=True):
-                for k, v in mapper(path, value):
-                    held[k].append(v)
-                    n += 1
+        for path, value in texts(batches):
+            for k, v in mapper(path, value):
+                held[k].append(v)
+                n += 1
                 if n >= COMBINE_EVERY:
-                    yield passed_on(held)
+                    yield from passed_on(held)
                     held, n = defaultdict(list), 0
-        if held:
-            yield passed_on(held)
+        yield from passed_on(held)
 
-    return rows.select("path", "value").mapInPandas(run, f"key {job.key_type}, values array<{job.value_type}>")
+    return cut(rows).mapInPandas(run, f"key {job.key_type}, values array<{job.value_type}>")
 
 
 def placed(job: JobSpec, pieces: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Golden results, generic jobs, sources and sinks."""
 
+import hashlib
 import json
 from collections import Counter
 
@@ -194,6 +195,28 @@ def test_combined_values_travel_in_pieces(spark):
     assert {r["key"]: r["values"] for r in mr.reduce_stage(job, groups).collect()} == {"a": [2 * n], "b": [1]}
 
 
+def test_texts_travel_in_cuts(spark):
+    """A batch of rows is bounded in bytes, and the mapper gets whole texts."""
+    whole = ["", "a", "é" * mr.CUT, "x" * mr.CUT, "x" * (mr.CUT + 1), "€uro 😀 " * 5000, "tail " * 300_000, None]
+    given = spark.createDataFrame([(str(i), v) for i, v in enumerate(whole)], "path string, value string")
+    parts = mr.cut(given).collect()
+    size = lambda v: len((v or "").encode())
+    assert max(len(r["part"] or b"") for r in parts) == mr.CUT and len(parts) == sum(max(1, -(-size(v) // mr.CUT)) for v in whole)
+    assert Counter(r["path"] for r in parts if not r["more"]) == Counter(map(str, range(len(whole))))
+    digest = lambda v: "null" if v is None else f"{len(v)} {hashlib.md5(v.encode()).hexdigest()}"
+    job = mr.JobSpec(lambda p, v: [(p, digest(v))], lambda k, v: v, mr.hash_partitioner(3))
+    assert {r["key"]: r["values"] for r in mr.run_job(job, given).collect()} == {str(i): [digest(v)] for i, v in enumerate(whole)}
+    bad = given.limit(1).select("path", F.unhex(F.lit("61FF")).cast("string").alias("value"))
+    with pytest.raises(Exception, match="can't decode"):
+        mr.run_job(job, bad).collect()
+
+
+def test_pairs_of_one_text_are_combined_on_the_way(spark):
+    n = 2 * mr.COMBINE_EVERY + 7
+    job = mr.JobSpec(lambda p, v: (("a", 1) for _ in range(n)), lambda k, v: sorted(v), mr.hash_partitioner(3), lambda k, v: [len(v)], value_type="long", output_type="long")
+    assert [r["values"] for r in mr.run_job(job, rows(spark, "x")).collect()] == [[7, mr.COMBINE_EVERY, mr.COMBINE_EVERY]]
+
+
 def test_streaming_reducers(spark, monkeypatch):
     """With ``streams`` no list of a whole group is made; the registered jobs ask for it."""
     kind = lambda k, v: [type(v).__name__, str(sum(1 for _ in v))]
